@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import id_residue, small_batches, text_of
 
@@ -152,7 +153,7 @@ def with_language(df: DataFrame, profiles: Profiles, text: str = "text", out: st
             texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
             yield batch.append_column(out, pa.array(profiles.predict(texts)[0], pa.string()))
 
-    return df.mapInArrow(run, df.schema.add(out, "string"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
