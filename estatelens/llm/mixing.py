@@ -34,7 +34,7 @@ def uniform(key: Column, seed: str) -> Column:
 
 def _rank() -> Column:
     """Random odds over inclusion odds, brought to [0, 1): it keeps their order."""
-    q = F.col("u") / (1 - F.col("u")) / F.col("odds")
+    q = F.col("u") / (1 - F.col("u")) / F.when(F.col("odds") > 0, F.col("odds"))  # a source with whole copies alone has no rank
     return q / (1 + q)
 
 
