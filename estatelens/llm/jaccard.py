@@ -213,7 +213,7 @@ def _leftover(batches):
         k = batch.column(0).to_numpy()
         if not len(k):
             continue
-        columns = [batch.column(i).to_numpy() for i in (1, 2, 3)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(len(k), PARITY_WORDS)]
+        columns = [batch.column(i).to_numpy() for i in (1, 2, 3)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(k), PARITY_WORDS)]
         bounds = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
         for lo, hi in zip(bounds, bounds[1:]):
             if rows and k[lo] != key:
