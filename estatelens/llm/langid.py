@@ -25,6 +25,8 @@ SEED = 97
 #: Code points below have a vector of their own; letters beyond share HASHED vectors.
 OWN, HASHED = 0x250, 320
 ALPHABET = OWN + HASHED
+#: Trigrams up to which a longer training text counts for more; a text's counts are taken in units of 1 / SCALE.
+LONGEST, SCALE = 1000, 64
 #: Texts bundled at once.
 GROUP = 128
 #: Sharpness of the score.
@@ -116,7 +118,8 @@ def learn_profiles(labelled: DataFrame, text: str = "text", label: str = "lang")
                 kinds, counts, _ = trigram_counts(texts[at : at + GROUP])
                 names, which = np.unique(np.array(labels[at : at + GROUP], object), return_inverse=True)
                 by_label = np.zeros((len(names), len(kinds)), np.int64)
-                np.add.at(by_label, which, counts)
+                length = np.maximum(counts.sum(axis=1, keepdims=True), 1)
+                np.add.at(by_label, which, np.rint(counts * (SCALE * np.minimum(1.0, LONGEST / length))).astype(np.int64))
                 vectors = by_label.astype(np.float64) @ trigram_vectors(kinds).astype(np.float64)  # whole numbers
                 for name, v in zip(names, vectors):
                     sums[name] = sums.get(name, 0) + np.rint(v).astype(np.int64)
