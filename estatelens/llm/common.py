@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import bounded_broadcast, shared_folder, stored
+
+__all__ = ["bounded_broadcast", "documents", "id_residue", "shared_folder", "small_batches", "stored", "text_of", "utf8_of"]
+
 #: Rows in one Arrow batch; texts are long, so the default of 10,000 rows could fill a worker's memory.
 BATCH_ROWS = 512
 
@@ -35,22 +37,3 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set to one under /tmp only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or "/tmp/checkpoints").rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it back: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows, else df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

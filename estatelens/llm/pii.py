@@ -51,8 +51,8 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", lambda x: ~F.exists(F.split(x, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", "").rlike("^(?:[0-9]{4,}|[3-9][0-9]{2}|2[6-9][0-9]|25[6-9])$")), 0.6, r"\bip\b|host|server|address", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][\\x20-]?[0-9]", lambda x: F.length(_digits(x)).between(13, 19) & F.call_function("luhn_check", _digits(x)), 0.8, "card|visa|credit|payment", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda x: F.length(_digits(x)).between(9, 15), 0.6, r"phone|\btel|call|mobile|\bfax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", mod97, 0.6, r"iban|account|konto|bank"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]", lambda x: ~x.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, r"\bssn\b|social security"),
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])", "[A-Z]{2}[0-9]{2}", mod97, 0.6, r"iban|account|konto|bank"),
+    Kind("ssn", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", "[0-9]-[0-9]{2}-[0-9]", lambda x: ~x.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, r"\bssn\b|social security"),
 )
 BASE = tuple(k for k in KINDS if k.certain)
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .oracles import DECONTAMINATION, JACCARD, MIXING, PII
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -78,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_pii, op2_language_id, op3_decontamination, op4_mixing, op5_quality, op6_jaccard_join, op7_sharding, op8_lm_scores, op9_token_counts, op10_media_columns)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_pii": PII, "op3_decontamination": DECONTAMINATION, "op4_mixing": MIXING, "op6_jaccard_join": JACCARD}
