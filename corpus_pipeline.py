@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.llm.common import id_residue, stored
-from estatelens.llm.decontaminate import remove_documents
+from estatelens.llm.decontaminate import decontaminate
 from estatelens.llm.jaccard import keep_first
 from estatelens.llm.langid import UNKNOWN, learn_profiles, with_language
 from estatelens.llm.mixing import mix
@@ -30,8 +30,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that aren't contaminated with benchmark items."""
-    return remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drops documents contaminated with benchmark items and cuts the passages out of those with lesser hits."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

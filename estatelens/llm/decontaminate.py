@@ -17,6 +17,8 @@ WINDOW = 13
 SHARE = 20
 #: Distinct windows up to which the set is broadcast (some 300 bytes each); beyond that the join shuffles.
 BROADCAST_WINDOWS = 500_000
+#: Documents with hits up to which they are broadcast with their hits' positions.
+BROADCAST_DOCUMENTS = 200_000
 #: 64-bit words in the bitmap at most: 128 KB.
 MAX_BITMAP = 1 << 14
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -136,20 +138,33 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the contaminated ones; all columns and repeated rows of the others stay."""
-    bad = contamination(docs, benchmark, window, key, text).filter(is_contaminated(share)).select(F.col(key).alias("__k"), F.col("h").alias("__h")).distinct()
-    bad = bounded_broadcast(bad, BROADCAST_WINDOWS)
-    return docs.join(bad, docs[key].eqNullSafe(bad["__k"]) & (F.xxhash64(docs[text]) == bad["__h"]), "left_anti")
+def _cut(text: Column, hits: Column) -> Column:
+    """The text without the hit words; what stands between words stays."""
+    word = WORD.replace("a-z", "A-Za-z")
+    gaps, words = F.split(text, word, -1), F.regexp_extract_all(text, F.lit(word), F.lit(0))
+    kept = F.transform(F.arrays_zip(gaps.alias("g"), words.alias("w")), lambda x, i: F.concat(x["g"], F.when(F.array_contains(hits, i), F.lit("")).otherwise(F.coalesce(x["w"], F.lit("")))))
+    return F.array_join(kept, "")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the hit words cut out of their texts; what stands between words stays."""
-    hit = contamination(docs, benchmark, window, key, text).filter(F.size("hits") > 0).select(F.col(key).alias("__k"), F.col("h").alias("__h"), F.col("hits").alias("__hits")).dropDuplicates(["__k", "__h"])
-    hit = bounded_broadcast(hit, BROADCAST_WINDOWS)
-    joined = docs.join(hit, docs[key].eqNullSafe(hit["__k"]) & (F.xxhash64(docs[text]) == hit["__h"]), "left")
-    word = WORD.replace("a-z", "A-Za-z")
-    gaps, words = F.split(F.col(text), word, -1), F.regexp_extract_all(F.col(text), F.lit(word), F.lit(0))
-    kept = F.transform(F.arrays_zip(gaps.alias("g"), words.alias("w")), lambda x, i: F.concat(x["g"], F.when(F.array_contains("__hits", i), F.lit("")).otherwise(F.coalesce(x["w"], F.lit("")))))
-    cut = F.when(F.col("__hits").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))
-    return joined.withColumn("__cut", cut).select(*(F.col("__cut").alias(c) if c == text else docs[c] for c in docs.columns))
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, documents: bool = True, spans: bool = True, window: int = WINDOW, share: int = SHARE, key: str = "doc_id", text: str = "text", length: str | None = "n_chars"
+) -> DataFrame:
+    """docs without contaminated documents (if documents) and, in the others, without hit words (if spans).
+
+    All columns and repeated rows of what stays are kept; the length column, if docs has it, follows a text that was
+    cut. Documents without a hit stay as they are.
+    """
+    found = contamination(docs, benchmark, window, key, text).filter(F.size("hits") > 0)
+    hit = found.select(F.col(key).alias("__k"), F.col("h").alias("__h"), F.col("hits").alias("__hits"), is_contaminated(share).alias("__bad")).dropDuplicates(["__k", "__h"])
+    hit = bounded_broadcast(stored(hit, "benchmark-hits"), BROADCAST_DOCUMENTS)
+    same = docs[key].eqNullSafe(hit["__k"]) & (F.xxhash64(docs[text]) == hit["__h"])
+    joined = docs.join(hit, same, "left")
+    if documents:
+        joined = joined.filter(~F.coalesce("__bad", F.lit(False)))
+    if not spans:
+        return joined.select(*(docs[c] for c in docs.columns))
+    joined = joined.withColumn("__cut", F.when(F.col("__hits").isNotNull(), _cut(docs[text], F.col("__hits"))))
+    changed = {text: F.coalesce("__cut", docs[text])}
+    if length in docs.columns:
+        changed[length] = F.when(F.col("__cut").isNotNull(), F.length("__cut").cast(docs.schema[length].dataType)).otherwise(docs[length])
+    return joined.select(*(changed.get(c, docs[c]).alias(c) for c in docs.columns))

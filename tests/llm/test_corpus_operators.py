@@ -143,7 +143,7 @@ def test_decontamination(spark, docs, rows):
         for i, want in brute_hits(rows, [(r.item_id, r.text) for r in items.collect()]):
             assert all((r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want for r in got[i]), i
         assert sum(map(len, got.values())) == len(rows)
-    kept = decontaminate.remove_documents(docs, bench.union(short))
+    kept = decontaminate.decontaminate(docs, bench.union(short))
     bad = {i for i, w in brute_hits(rows, [(r.item_id, r.text) for r in bench.union(short).collect()]) if w[4]}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i not in bad) and kept.columns == docs.columns
 
@@ -151,7 +151,11 @@ def test_decontamination(spark, docs, rows):
 def test_span_removal(spark):
     d = spark.createDataFrame([(1, "Keep A B, C! keep"), (2, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    assert {r.doc_id: r.text for r in decontaminate.remove_spans(d, b).collect()} == {1: "Keep  , ! keep", 2: None}
+    assert {r.doc_id: r.text for r in decontaminate.decontaminate(d, b, documents=False).collect()} == {1: "Keep  , ! keep", 2: None}
+    assert [r.doc_id for r in decontaminate.decontaminate(d, b).collect()] == [2]
+    long = "x " * 100 + "A b C."
+    d = spark.createDataFrame([(1, long, 7), (2, "clean", 9)], "doc_id long, text string, n_chars int")
+    assert sorted(map(tuple, decontaminate.decontaminate(d, b).collect())) == [(1, "x " * 100 + "  .", 203), (2, "clean", 9)]
 
 
 # --- op 4
