@@ -25,7 +25,7 @@ def discover(spark: SparkSession, root: str, excludes: Sequence[str] = (), scope
     """(path, content, content_hash, length, lang, skipped) of the files under root, paths relative to it.
 
     A file in a skipped folder, excluded by a glob or outside the scope is left out; one that is too large or binary stays with the
-    reason in `skipped` and no content. Only what is kept is read in full.
+    reason in `skipped` and no content. Files of no length hold no facts, and Spark's reader leaves them out.
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)

@@ -113,7 +113,7 @@ class _File:
             stop = m.end() - 1
             if m[5] == "(":
                 stop = _closing(self.text, stop) + 1
-                brace = re.compile(r"\s*(?::\s*(?:\{[^{}\n]*\})?[^{;\n]*?)?([{;\n])").match(self.text, stop, end)
+                brace = re.compile(r"\s*(?::\s*(?:\{[^{}\n]*\}(?=\s*\{)|<\s*\{[^{}\n]*\}\s*>|[^{;\n])*?)?\s*(?!\{[^{}\n]*\}\s*\{)([{;\n])").match(self.text, stop, end)
                 if brace and brace[1] == "{":
                     stop = _closing(self.text, brace.end() - 1)
                 kind = "constructor" if m[2] == "constructor" else "method"
