@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,24 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Deletes this process's tables when it ends, as no DataFrame can read them then."""
+    for spark, path in _made:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended already; the folder's owner clears it
+            return
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: it cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    _made.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
