@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, small_batches, stored, utf8_of
@@ -294,7 +294,17 @@ def link_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one document of each component, that with the smallest key; rows with a null key stay."""
-    found = link_components(df.select(key, text), key, text).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
-    gone = bounded_broadcast(stored(found, "jaccard-gone"), BROADCAST_IDS)
-    return df.join(gone, df[key] == gone["__gone"], "left_anti").select(*df.columns)
+    """df with one document of each component, that with the smallest key; rows with a null key stay.
+
+    Of rows with equal key and text one stays, the first as JSON; rows with equal keys and different texts share their fate.
+    """
+    linked = stored(link_components(df.select(key, text), key, text), "jaccard-linked")
+    gone = linked.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
+    kept = df.join(bounded_broadcast(gone, BROADCAST_IDS), df[key] == F.col("__gone"), "left_anti").select(*df.columns)
+    repeated = linked.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__again")).count().filter("count > 1").select("__again")
+    if repeated.isEmpty():
+        return kept
+    repeated = bounded_broadcast(repeated, BROADCAST_IDS)
+    first = F.row_number().over(Window.partitionBy(key, text).orderBy(F.to_json(F.struct(*df.columns))))
+    once = kept.join(repeated, kept[key] == repeated["__again"], "left_semi").withColumn("__n", first).filter("__n = 1").drop("__n")
+    return kept.join(repeated, kept[key] == repeated["__again"], "left_anti").unionByName(once)

@@ -270,6 +270,11 @@ def test_similarity_join(spark, docs, rows):
     assert sorted(r.doc_id for r in jaccard.keep_first(df).collect()) == sorted(i for i, v in want.items() if v[1] == i)
 
 
+def test_repeated_rows_stay_once(docs):
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns and kept.filter("doc_id = 1000005").count() == 1 and kept.filter("doc_id is null").count() == 1
+
+
 def test_leftover_pairs_of_a_run():
     import pyarrow as pa
 
