@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, small_batches
 
 SHARDS = 24
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20
 SEED = 20_240_607
 #: Buckets up to which their offsets are broadcast (16 bytes each).
 BROADCAST_BUCKETS = 1_000_000
@@ -38,7 +38,7 @@ def external_shuffle(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, bu
     rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
     n = max(1, -(-total // bucket_bytes), min(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
-    placed = df.withColumn("__bucket", F.pmod(dealt, F.lit(n))).withColumn("__order", dealt)
+    placed = df.withColumn("__bucket", F.pmod(dealt, F.lit(n)).cast("int")).withColumn("__order", dealt)
     buckets = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__rows"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bounded_broadcast(buckets.select("__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset")), BROADCAST_BUCKETS)
@@ -51,7 +51,7 @@ def external_shuffle(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, bu
         return group.take(order).append_column("__at", pa.array(np.arange(len(group)), pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema) + ", __at bigint"
-    shuffled = placed.groupBy("__bucket").applyInArrow(permute, schema)
+    shuffled = placed.repartitionById(n, F.col("__bucket")).groupBy("__bucket").applyInArrow(permute, schema)  # a task for each bucket
     place = F.col("__offset") + F.col("__at")
     return shuffled.join(offsets, "__bucket").select(*(F.col(f"`{c}`") for c in df.columns), (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
 
