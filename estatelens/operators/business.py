@@ -76,3 +76,21 @@ def lint(docs: DataFrame, resolved: DataFrame, roots: DataFrame) -> DataFrame:
         part = df.toDF("subject").select(F.lit(i).alias("ordinal"), F.lit(check).alias("check"), "subject")
         out = part if out is None else out.union(part)
     return out.orderBy("ordinal", "subject")
+
+
+def find_by_implementation(resolved: DataFrame, names: DataFrame) -> DataFrame:
+    """(asked, doc, kind, ref, siblings): names(asked) against anchors' targets, by the whole name or its last segment.
+
+    siblings: other documents with the same kind and ref.
+    """
+    exploded = resolved.filter("state = 'resolved'").select("doc", "kind", "ref", F.explode("targets").alias("t"))
+    keys = exploded.select("doc", "kind", "ref", F.explode(F.array_distinct(F.array("t", F.element_at(F.split("t", r"[.#:]"), -1)))).alias("asked"))
+    hits = names.select("asked").distinct().join(keys, "asked").distinct()
+    pool = resolved.groupBy("kind", "ref").agg(F.array_sort(F.collect_set("doc")).alias("docs"))
+    return hits.join(pool, ["kind", "ref"]).select("asked", "doc", "kind", "ref", F.array_remove("docs", F.col("doc")).alias("siblings"))
+
+
+def filter_anchors(anchors: DataFrame, kinds: Sequence[str] = (), teams: Sequence[str] = ()) -> DataFrame:
+    """Anchors of the kinds and teams; an empty filter narrows nothing."""
+    out = anchors.filter(F.col("kind").isin(*kinds)) if kinds else anchors
+    return out.filter(F.col("team").isin(*teams)) if teams else out

@@ -68,3 +68,46 @@ def evaluation(questions: DataFrame, found: DataFrame) -> DataFrame:
     j = questions.join(seen, ["question", "item"], "left")
     ratio = lambda expected: F.sum(F.when(F.col("expected") == expected, F.coalesce("__seen", F.lit(0)))) / F.sum(F.when(F.col("expected") == expected, 1))
     return j.groupBy("question").agg(F.round(F.coalesce(ratio(True), F.lit(1.0)), 3).alias("recall"), F.round(1 - F.coalesce(ratio(False), F.lit(0.0)), 3).alias("precision"))
+
+
+def import_graph(imports: DataFrame, files: DataFrame, namespaces: DataFrame, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(edges(src, dst), counts) of imports(path, target) between files.
+
+    A target is a file, or a namespace(namespace, path) that up to `most` files declare; wider ones, external ones and files that import
+    themselves are counted and left out.
+    """
+    direct = imports.join(files.select(F.col("path").alias("target"), F.col("path").alias("dst")), "target").select("path", "target", "dst")
+    wide = namespaces.groupBy("namespace").agg(F.count_distinct("path").alias("n"))
+    by_space = imports.join(namespaces.select(F.col("namespace").alias("target"), F.col("path").alias("dst")).distinct(), "target").join(wide.select(F.col("namespace").alias("target"), "n"), "target")
+    every = direct.union(by_space.filter(F.col("n") <= most).select("path", "target", "dst")).distinct()
+    edges = every.filter("path <> dst").select(F.col("path").alias("src"), "dst").distinct()
+    seen = direct.select("path", "target").union(by_space.select("path", "target")).distinct()
+    count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    return edges, count(edges, "edges").union(count(imports.distinct().join(seen, ["path", "target"], "left_anti"), "external")).union(count(by_space.filter(F.col("n") > most).select("path", "target").distinct(), "too_wide")).union(count(every.filter("path = dst"), "self"))
+
+
+def structure(ranks: DataFrame, edges: DataFrame, top: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(by folder, no one imports): rank sums of folders, and files without incoming edges, both in a fixed order."""
+    folder = F.regexp_replace("node", "/?[^/]*$", "")
+    sums = ranks.groupBy(folder.alias("directory")).agg(F.round(F.sum("rank"), 6).alias("rank"), F.count(F.lit(1)).alias("files")).orderBy(F.desc("rank"), "directory").limit(top)
+    return sums, ranks.select("node").join(edges.select(F.col("dst").alias("node")), "node", "left_anti").orderBy("node")
+
+
+def why(commits: DataFrame, file: str, limit: int = 5) -> DataFrame:
+    """The newest commits(commit, at, author, subject, file) that touch a file."""
+    return commits.filter(F.col("file") == file).orderBy(F.desc("at"), "commit").limit(limit).select("commit", "at", "author", "subject")
+
+
+def check_changes(changes: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(change, obvious, found, missed): of the roots whose own files a change touches, how many a prediction names.
+
+    changes(change, root); predicted(change, root).
+    """
+    hit = predicted.select("change", "root").distinct().withColumn("__p", F.lit(1))
+    j = changes.select("change", "root").distinct().join(hit, ["change", "root"], "left")
+    return j.groupBy("change").agg(F.count(F.lit(1)).alias("obvious"), F.count("__p").alias("found"), F.array_sort(F.collect_set(F.when(F.col("__p").isNull(), F.col("root")))).alias("missed"))
+
+
+def limits(files: DataFrame) -> DataFrame:
+    """(reason, files, bytes) of what wasn't read, and how much was."""
+    return files.groupBy(F.coalesce("skipped", F.lit("read")).alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))

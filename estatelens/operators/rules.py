@@ -156,3 +156,29 @@ def dead_rules(decided: DataFrame, rules: Sequence[Rule]) -> list[str]:
     """Ids of rules that won nowhere; the list is as long as the rule set."""
     used = {r.rule_id for r in decided.select("rule_id").distinct().filter("rule_id is not null").collect()}
     return sorted(r.id for r in rules if r.id not in used)
+
+
+def lint_owners(nodes: DataFrame, rule_set: Sequence[Rule], teams: Sequence[str], predicates: Predicates) -> DataFrame:
+    """(check, subject, n): rules that win nowhere, nodes without owner by module, teams without nodes, ties."""
+    spark = nodes.sparkSession
+    decided = owners(nodes, rule_set, predicates)
+    won, used = decided.select("rule_id").distinct(), decided.select("owner").distinct()
+    given = spark.createDataFrame([(r.id,) for r in rule_set] or [("",)], "subject string").filter("subject <> ''")
+    known = spark.createDataFrame([(t,) for t in teams] or [("",)], "subject string").filter("subject <> ''")
+    dead = given.join(won.withColumnRenamed("rule_id", "subject"), "subject", "left_anti").select(F.lit("dead_rule").alias("check"), "subject", F.lit(0).cast("long").alias("n"))
+    idle = known.join(used.withColumnRenamed("owner", "subject"), "subject", "left_anti").select(F.lit("idle_team"), "subject", F.lit(0).cast("long"))
+    orphans = decided.filter("owner is null").groupBy("module").agg(F.count(F.lit(1)).alias("n")).select(F.lit("orphans"), "module", "n")
+    ties = decided.filter("tie").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("tie"), "rule_id", "n")
+    return dead.union(idle).union(orphans).union(ties)
+
+
+def select(decided: DataFrame, state: str | None = None, module: str | None = None, namespace: str | None = None, kind: str | None = None, rule: str | None = None, limit: int = 20) -> tuple[DataFrame, int]:
+    """The first rows of a decision by fqn after all filters that are given, and how many there are."""
+    rows = decided
+    for column, value in (("state", state), ("kind", kind), ("rule_id", rule)):
+        rows = rows.filter(F.col(column) == value) if value else rows
+    if module:
+        rows = rows.filter(F.col("module").rlike(glob_regex(module)) | F.contains(F.col("module"), F.lit(module)))
+    if namespace:
+        rows = rows.filter((F.col("namespace") == namespace) | F.startswith(F.col("namespace"), F.lit(namespace + ".")))
+    return rows.orderBy("fqn").limit(limit), rows.count()

@@ -132,3 +132,33 @@ def symbol_graph(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     bases = resolve_bases(symbols).join(symbols.select(F.col("fqn").alias("resolved"), F.col("key").alias("base_key")), "resolved")
     edges = bases.select(F.lit("inherits").alias("kind"), F.concat(F.lit("type:"), "key").alias("source"), F.concat(F.lit("type:"), "base_key").alias("target"), F.lit("base").alias("via"), F.lit(1.0).alias("confidence"))
     return types.unionByName(members).dropDuplicates(["key"]), edges.distinct()
+
+
+def dispatch_handlers(symbols: DataFrame, interfaces: Sequence[str]) -> DataFrame:
+    """(handler, request): symbols with a base type like Interface<Request, ...> of a configured interface."""
+    bases = symbols.select(F.concat(F.lit("type:"), "key").alias("handler"), F.explode("base_types_raw").alias("raw"))
+    name = F.element_at(F.split(F.split_part("raw", F.lit("<"), F.lit(1)), r"\."), -1)
+    first = F.regexp_extract("raw", r"<\s*((?:[^<>,]|<(?:[^<>]|<[^<>]*>)*>)+)", 1)
+    return bases.filter(name.isin(*interfaces) & (first != "")).select("handler", F.trim(first).alias("request")).distinct()
+
+
+def dispatch_sends(parsed: DataFrame, handlers: DataFrame) -> DataFrame:
+    """(path, member, request, line): constructions of types that have a handler."""
+    made = parsed.select("path", F.inline("constructions")).withColumn("request", F.element_at(F.split(text.strip_generics(F.col("type_name")), r"\."), -1))
+    known = handlers.select(F.element_at(F.split(text.strip_generics(F.col("request")), r"\."), -1).alias("request")).distinct()
+    return made.join(known, "request", "left_semi").select("path", "member", "request", "line")
+
+
+def table_literals(parsed: DataFrame, methods: Sequence[str] = ("ToTable", "ToView")) -> DataFrame:
+    """(path, entity, name, line): tables named by configuration calls; a call without a plain name keeps an empty one."""
+    calls = parsed.select("path", F.inline("literal_calls")).filter(F.col("method").isin(*methods))
+    return calls.select("path", "entity", text.normalize_data_name(F.coalesce(F.get("arguments", F.lit(0)), F.lit(""))).alias("name"), "line")
+
+
+def sql_usages(parsed: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """(path, member, line, reads, writes, calls, dynamic) of SQL texts in the named calls."""
+    from ..sources.sqltext import sql_facts
+
+    calls = parsed.select("path", F.inline("literal_calls")).filter(F.col("method").isin(*methods))
+    facts = calls.withColumn("f", sql_facts(F.get("arguments", F.lit(0))))
+    return facts.select("path", "member", "line", "f.reads", "f.writes", "f.calls", "f.dynamic").filter("dynamic or size(reads) + size(writes) + size(calls) > 0")

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StringType, _parse_datatype_string
 
 from .files import scan
 
@@ -75,3 +76,38 @@ def broken_links(documents: DataFrame, files: DataFrame) -> DataFrame:
     for _ in range(6):
         full = F.regexp_replace(full, r"(^|/)\./|[^/.][^/]*/\.\./", "$1")
     return targets.withColumn("full", full).join(files.select(F.col("path").alias("full")), "full", "left_anti").select("path", "target").distinct()
+
+
+def zone_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, kind, name, change) of zones between two parsed states: added, removed or changed; equal zones go."""
+    zones = lambda df, n: df.select("path", F.inline("segments")).filter("kind <> 'literal'").select("path", "kind", F.coalesce("name", F.lit("")).alias("name"), F.col("body").alias(n))
+    j = zones(before, "was").join(zones(after, "now"), ["path", "kind", "name"], "full_outer")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed")
+    return j.withColumn("change", change).filter("change is not null").select("path", "kind", "name", "change")
+
+
+def unified_diff(pairs: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """pairs with the unified text diff of two columns; empty for equal texts."""
+    @F.pandas_udf(StringType())
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import unified_diff as lines
+
+        return pd.Series(["".join(lines((x or "").splitlines(True), (y or "").splitlines(True), "before", "after")) for x, y in zip(a, b)])
+
+    return pairs.withColumn("diff", diff(before, after))
+
+
+def shadowed(expected: DataFrame, documents: DataFrame, files: DataFrame) -> DataFrame:
+    """(path) where a document is due and a file is, but the scan of documents didn't return it."""
+    return expected.select("path").join(files.select("path"), "path", "left_semi").join(documents.select("path"), "path", "left_anti")
+
+
+def template_accesses(templates: DataFrame, members: DataFrame) -> DataFrame:
+    """(path, type, member): members of its component that a template's interpolations and bindings name.
+
+    templates(path, type, text); members(type, member).
+    """
+    text = F.col("text")
+    held = F.concat(F.regexp_extract_all(text, F.lit(r"(?s)\{\{(.*?)\}\}"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"""(?:\[[\w.-]+\]|\([\w.-]+\)|\*\w+)\s*=\s*"([^"]*)\""""), F.lit(1)), F.regexp_extract_all(text, F.lit(r"@(?:if|for|switch)\s*\(([^)]*)\)"), F.lit(1)))
+    names = F.array_distinct(F.flatten(F.transform(held, lambda e: F.regexp_extract_all(e, F.lit(r"(?<![\w.'])([A-Za-z_]\w*)"), F.lit(1)))))
+    return templates.select("path", "type", F.explode(names).alias("member")).join(members.select("type", "member").distinct(), ["type", "member"]).select("path", "type", "member")

@@ -123,3 +123,49 @@ def solution_projects(files: DataFrame) -> DataFrame:
     classic = F.regexp_extract_all("text", F.lit(r'(?m)^Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+proj)"'), F.lit(1))
     modern = F.regexp_extract_all("text", F.lit(r'<Project\s+Path="([^"]+)"'), F.lit(1))
     return files.filter(F.lower("path").rlike(r"\.slnx?$")).select("path", F.explode(F.transform(F.concat(classic, modern), lambda p: F.replace(p, F.lit("\\"), F.lit("/")))).alias("project"))
+
+
+def resolve_references(found: DataFrame) -> DataFrame:
+    """(path, reference, project): project references to known projects by path, else by file name where that names one project only."""
+    refs = found.select("path", F.explode("project_references").alias("reference"))
+    known = found.select(F.col("path").alias("project"))
+    base = lambda c: F.lower(F.element_at(F.split(c, "/"), -1))
+    by_name = known.groupBy(base(F.col("project")).alias("n")).agg(F.min("project").alias("by_name"), F.count(F.lit(1)).alias("c")).filter("c = 1")
+    j = refs.join(known, refs["reference"] == known["project"], "left").withColumn("n", base(F.col("reference"))).join(by_name, "n", "left")
+    return j.select("path", "reference", F.coalesce("project", "by_name").alias("project"))
+
+
+def follow(items: DataFrame, files: DataFrame, field: str, base: str, spec: Spec) -> DataFrame:
+    """Items of the files that a field of other items names, under base, with the naming item's ref as their parent's name.
+
+    Result: the columns of read_registry and via_ref. A path that leads to no file gives one error row.
+    """
+    target = F.regexp_replace(F.concat(F.lit(base.rstrip("/") + "/"), F.replace(F.try_element_at("fields", F.lit(field)), F.lit("\\"), F.lit("/"))), "/+", "/")
+    wanted = items.filter("error is null").select(F.col("ref").alias("via_ref"), target.alias("target")).filter("target is not null")
+    there = wanted.join(files, wanted["target"] == files["path"], "left_semi").select("target").distinct()
+    read = read_registry(files.join(there, files["path"] == there["target"], "left_semi"), Spec(spec.id, spec.kind, ("*",), spec.item, spec.fields, spec.format, spec.children))
+    found = read.join(wanted, read["path"] == wanted["target"]).drop("target")
+    gone = wanted.join(files.select(F.col("path").alias("target")), "target", "left_anti")
+    lost = gone.select(*(F.concat(F.lit("no file "), F.col("target")).alias(c) if c == "error" else F.lit(spec.kind).alias(c) if c == "kind" else F.lit(None).cast(read.schema[c].dataType).alias(c) for c in read.columns), "via_ref")
+    return found.unionByName(lost)
+
+
+def record_key(ref: Column, parent: Column, version: Column) -> Column:
+    """parent:ref@version, the parts that are there."""
+    return F.concat(F.when(F.coalesce(parent, F.lit("")) != "", F.concat(parent, F.lit(":"))).otherwise(""), ref, F.when(F.coalesce(version, F.lit("")) != "", F.concat(F.lit("@"), version)).otherwise(""))
+
+
+#: The kinds of records and what each must have.
+RECORD_KINDS = {"entry_point": ("entry_kind",), "data": ("data_kind",), "seam": ("seam_kind", "literal"), "layer": ("role",)}
+
+
+def check_records(records: DataFrame) -> DataFrame:
+    """(finding, kind, key) of all that is wrong with records(kind, key, fields map), at once."""
+    unknown = records.filter(~F.col("kind").isin(*RECORD_KINDS)).select(F.lit("unknown kind").alias("finding"), "kind", "key")
+    empty = records.filter(F.coalesce("key", F.lit("")) == "").select(F.lit("no key"), "kind", "key")
+    twice = records.groupBy("kind", "key").count().filter("count > 1").select(F.lit("repeated key"), "kind", "key")
+    out = unknown.union(empty).union(twice)
+    for kind, fields in RECORD_KINDS.items():
+        for f in fields:
+            out = out.union(records.filter((F.col("kind") == kind) & (F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit("")) == "")).select(F.lit(f"no {f}"), "kind", "key"))
+    return out

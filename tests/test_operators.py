@@ -222,3 +222,41 @@ def test_streamed_snapshots(spark, tmp_path):
         manifest.follow(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     got = manifest.current(spark, str(tmp_path / "out"), stream.schema)
     assert sorted(map(tuple, got.collect())) == [(1, 3, False, "c"), (2, 2, True, "b")]
+
+
+def test_web_calls_overrides_and_absorption(spark):
+    calls = spark.createDataFrame([("f", "m", "get", "/pm/x/{id}?a=1", None, "go", 1), ("f", "n", "post", "items?listInnerName=Users", None, "go", 2), ("f", "m", "get", None, "parameter", "go", 3)], "file string, module string, http_method string, url string, reason string, member string, line int")
+    rewrites = spark.createDataFrame([("m", "/PM", "/api"), ("n", None, "api")], "module string, strip_prefix string, add_prefix string")
+    keys, lost = web.build_calls(calls, rewrites, ["api/items"])
+    assert sorted((r.http_method, r.route, r.discriminator) for r in keys.collect()) == [("GET", "api/x/{}", ""), ("POST", "api/items", "Users")] and [r.reason for r in lost.collect()] == ["parameter"]
+    rt = lambda *rows: spark.createDataFrame(list(rows), "path string, component string")
+    kept, findings = web.apply_overrides(rt(("a", "A"), ("b", "B"), ("b2", "B")), rt(("a", "A"), ("c", "C")), rt(("c", "C"), (None, "A"), (None, "B"), ("z", "Z")))
+    assert sorted(map(tuple, kept.collect())) == [("b", "B"), ("b2", "B")] and sorted((r.finding, r.component) for r in findings.collect()) == [("ambiguous", "B"), ("missing", "Z"), ("redundant", "A")]
+    nodes = spark.createDataFrame([("p", "page", "p.ts", "0"), ("q", "page", "q.ts", "0"), ("s", "service", "s.ts", "1"), ("t", "service", "t.ts", "2"), ("u", "service", "feat/u.ts", "3"), ("F", "feature", "", "0")], "id string, kind string, path string, impl_hash string")
+    feats = spark.createDataFrame([("F", "feat")], "id string, folder string")
+    got = {r.id: r.absorbed_by for r in web.absorb(nodes, edges(spark, "p>s s>t q>t p>u"), feats).collect()}
+    assert got == {"p": None, "q": None, "s": "p", "t": None, "u": "F", "F": None}
+    pages = spark.createDataFrame([("A",), ("X",)], "page string")
+    ends = spark.createDataFrame([("A", "GET a"), ("A", "GET b")], "page string, endpoint string")
+    assert {r.page: tuple(r)[1:] for r in web.page_report(pages, rt(("a", "A"), ("a/b", "B"), ("ab", "B")), ends).collect()} == {"A": (1, 1, 2, False), "X": (0, 0, 0, True)}
+
+
+def test_more_recon_and_rules(spark):
+    files = spark.createDataFrame([("a.cs",), ("b.cs",), ("c.cs",)], "path string")
+    imports = spark.createDataFrame([("a.cs", "N"), ("a.cs", "System"), ("b.cs", "b.cs"), ("c.cs", "a.cs")], "path string, target string")
+    spaces = spark.createDataFrame([("N", "b.cs"), ("N", "c.cs")], "namespace string, path string")
+    made, counts = recon.import_graph(imports, files, spaces)
+    assert sorted((r.src, r.dst) for r in made.collect()) == [("a.cs", "b.cs"), ("a.cs", "c.cs"), ("c.cs", "a.cs")] and {r.what: r.n for r in counts.collect()} == {"edges": 3, "external": 1, "too_wide": 0, "self": 1}
+    assert recon.import_graph(imports, files, spaces, most=1)[1].filter("what = 'too_wide'").first().n == 1
+    ch, pr = (spark.createDataFrame(x, "change string, root string") for x in ([("1", "a"), ("1", "b"), ("2", "c")], [("1", "a"), ("1", "z")]))
+    assert {r.change: (r.obvious, r.found, r.missed) for r in recon.check_changes(ch, pr).collect()} == {"1": (2, 1, ["b"]), "2": (1, 0, ["c"])}
+    found = {(r.check, r.subject): r.n for r in rules.lint_owners(symbols(spark), [Rule("r", 1, {"name_suffix": ["Dto"]}, "t1"), Rule("dead", 0, {"kind": ["x"]}, "t2")], ["t1", "t3"], PREDICATES).collect()}
+    assert found == {("dead_rule", "dead"): 0, ("idle_team", "t3"): 0, ("orphans", "M"): 2}
+
+
+def test_applied_plans(spark, tmp_path):
+    (tmp_path / "old.md").write_text("x")
+    p = spark.createDataFrame([("d/a.md", "create", "A", None), ("d/b.md", "relocate", "B", "old.md"), ("d/c.md", "unchanged", None, None)], "doc_path string, file_action string, content string, relocate_from string")
+    assert plan.apply_plan(p, str(tmp_path)) == {"create": 1, "relocate": 1} and not (tmp_path / "d").exists()
+    plan.apply_plan(p, str(tmp_path), dry_run=False)
+    assert (tmp_path / "d/a.md").read_text() == "A" and (tmp_path / "d/b.md").read_text() == "B" and not (tmp_path / "old.md").exists()

@@ -182,3 +182,37 @@ def test_scalars(spark):
     s = spark.createDataFrame([("public (int, int) Pair(ref Dictionary<string, int> map, int x = 1)",), ("public C([FromServices] IA a, IB b) : base(a)",)], "s string")
     assert [r.t for r in s.select(signatures.injected_parameter_types("s").alias("t")).collect()][1] == ["IA", "IB"]
     assert signatures.identity_types("(int, int) P(out Dictionary<string, int> m, int x = 1)") == ["Dictionary<string, int>", "int"]
+
+
+def test_references_followed_files_and_checks(spark):
+    p = spark.createDataFrame([("a/A.csproj", ["b/B.csproj", "x/C.csproj", "gone/D.csproj"]), ("b/B.csproj", []), ("c/C.csproj", [])], "path string, project_references array<string>")
+    assert {r.reference: r.project for r in registries.resolve_references(p).collect()} == {"b/B.csproj": "b/B.csproj", "x/C.csproj": "c/C.csproj", "gone/D.csproj": None}
+    f = frame(spark, [("i.xml", "<R><I K='w' P='F\\one.json'/><I K='v' P='no.json'/></R>"), ("base/F/one.json", '{"Id": "step"}')])
+    items = registries.read_registry(f, registries.Spec("r", "flow", ("i.xml",), "./I", {"ref": "@K", "p": "@P"}))
+    got = registries.follow(items, f, "p", "base", registries.Spec("r", "def", (), "", {"ref": "Id"}, "json")).collect()
+    assert sorted((r.via_ref, r.ref, r.error) for r in got) == [("v", None, "no file base/no.json"), ("w", "step", None)]
+    recs = spark.createDataFrame([("seam", "s", {"seam_kind": "q"}), ("odd", "o", {}), ("data", "d", {"data_kind": "t"}), ("data", "d", {"data_kind": "t"})], "kind string, key string, fields map<string,string>")
+    assert sorted((r.finding, r.key) for r in registries.check_records(recs).collect()) == [("no literal", "s"), ("repeated key", "d"), ("unknown kind", "o")]
+
+
+def test_handlers_sends_tables_and_templates(spark):
+    from estatelens.operators import symbols
+
+    code = "namespace N; class H : IRequestHandler<Q<int>, R> { void X() { bus.Send(new Q<int>(1)); new Other(); b.ToTable(\"Orders\", \"dbo\"); db.Query(\"SELECT 1 FROM T\"); } } class Q<T> { }"
+    parsed = csharp.parse_files(frame(spark, [("a.cs", code)]))
+    s = symbols.build_symbols(parsed, spark.createDataFrame([("a.cs", "M")], "path string, module string"))
+    handlers = symbols.dispatch_handlers(s, ["IRequestHandler"])
+    assert [(r.handler, r.request) for r in handlers.collect()] == [("type:M#N.H", "Q<int>")]
+    assert [(r.member, r.request) for r in symbols.dispatch_sends(parsed, handlers).collect()] == [("X", "Q")]
+    assert [(r.entity, r.name) for r in symbols.table_literals(parsed).collect()] == [("H", "orders")] and [r.reads for r in symbols.sql_usages(parsed, ["Query"]).collect()] == [["t"]]
+    t = spark.createDataFrame([("x.html", "C", "<p *ngIf=\"ok\">{{ name | upper }}</p><a (click)=\"go(item.id)\" [x]=\"'no'\">{{other}}</a>")], "path string, type string, text string")
+    m = spark.createDataFrame([("C", n) for n in ("ok", "name", "go", "no", "id")], "type string, member string")
+    assert sorted(r.member for r in documents.template_accesses(t, m).collect()) == ["go", "name", "ok"]
+
+
+def test_zone_changes(spark):
+    zone = lambda n, b: f"<!-- managed:section:start {n} -->\n{b}\n<!-- managed:section:end {n} -->\n"
+    a, b = (documents.parse_documents(frame(spark, [("d.md", t)])) for t in (zone("x", "1") + zone("y", "1"), zone("x", "2") + zone("z", "1")))
+    assert sorted((r.name, r.change) for r in documents.zone_diff(a, b).collect()) == [("x", "changed"), ("y", "removed"), ("z", "added")]
+    d = documents.unified_diff(spark.createDataFrame([("a\nb\n", "a\nc\n"), ("s", "s")], "before string, after string")).collect()
+    assert "-b\n+c\n" in d[0]["diff"] and d[1]["diff"] == ""
