@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import normalize_text, similarity
 
@@ -36,30 +40,25 @@ def resolve(search: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
     return best.select("node", "m.field", "m.how", "m.score").orderBy(F.desc("score"), "node").limit(limit)
 
 
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
 def similar_names(names: DataFrame, wanted: DataFrame, least: float = 0.7, limit: int = 5) -> DataFrame:
     """(wanted, name, ratio): names like each wanted one by sequence matching, the best first; a short form goes where its full one is.
 
     Pairs are drawn by a shared trigram of the last segment, as no built-in function has this ratio.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
     from pyspark.sql import Window
 
     from ..functions.text import trigrams
 
-    @F.pandas_udf("double")
-    def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        from difflib import SequenceMatcher
-
-        for a, b in pairs:
-            yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
     last = lambda c: F.element_at(F.split(F.lower(c), r"\."), -1)
     a = wanted.select(F.col("name").alias("wanted")).distinct().withColumn("g", F.explode(trigrams(last(F.col("wanted")))))
     b = names.select("name").distinct().withColumn("g", F.explode(trigrams(last(F.col("name")))))
     pairs = a.join(b, "g").groupBy("wanted", "name").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
-    scored = pairs.withColumn("ratio", F.round(ratio(F.lower("wanted"), last(F.col("name"))), 3)).filter(F.col("ratio") >= least)
+    scored = pairs.withColumn("ratio", F.round(_ratio(F.lower("wanted"), last(F.col("name"))), 3)).filter(F.col("ratio") >= least)
     full = scored.filter(F.col("name").contains(".")).select("wanted", last(F.col("name")).alias("name")).distinct()
     scored = scored.join(full, ["wanted", "name"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("wanted").orderBy(F.desc("ratio"), "name"))

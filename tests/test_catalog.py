@@ -33,3 +33,14 @@ def test_query_matches_sql(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, SF), duck.sql(catalog.ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+def test_fuzzy_close_matches_a_plain_loop(spark):
+    from difflib import SequenceMatcher
+
+    names = {r[0] for t, c in (("supplier", "s_name"), ("part", "p_name")) for r in duckdb.sql(f"SELECT {c} FROM read_parquet('{SF}/{t}.parquet')").fetchall()}
+    want = set()
+    for asked in ("red wigdet", "Suplier#000000007"):
+        scored = sorted((-round(SequenceMatcher(None, asked.lower(), n.lower()).ratio(), 3), n) for n in names)
+        want |= {(asked, n, -r) for r, n in scored[:5] if -r >= 0.7}
+    assert {tuple(r) for r in catalog.QUERIES["fuzzy_close"](spark, SF).collect()} == want
