@@ -69,6 +69,21 @@ def unique_both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("__a", n_a).withColumn("__b", n_b).filter("__a = 1 and __b = 1").select(a, b)
 
 
+def unique_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """(a, b): rows of both sides that share a key's value and have no other candidate by any of the keys; empty keys don't count.
+
+    A value that several rows of a side have makes all that have it ambiguous, so no pairs of such a group are made.
+    """
+    made = spoiled_a = spoiled_b = None
+    for k in keys:
+        l, r = (df.filter(F.coalesce(F.col(k).cast("string"), F.lit("")) != "").select(F.col(k).alias("k"), F.col(i).alias(i)) for df, i in ((left, a), (right, b)))  # noqa: E741
+        n = l.groupBy("k").agg(F.count(F.lit(1)).alias("n_a"), F.min(a).alias(a)).join(r.groupBy("k").agg(F.count(F.lit(1)).alias("n_b"), F.min(b).alias(b)), "k")
+        crowded = n.filter("n_a > 1 or n_b > 1").select("k")
+        parts = n.filter("n_a = 1 and n_b = 1").select(a, b), l.join(crowded, "k", "left_semi").select(a), r.join(crowded, "k", "left_semi").select(b)
+        made, spoiled_a, spoiled_b = parts if made is None else (made.union(parts[0]), spoiled_a.union(parts[1]), spoiled_b.union(parts[2]))
+    return unique_both_ways(made, a, b).join(spoiled_a.distinct(), a, "left_anti").join(spoiled_b.distinct(), b, "left_anti").select(a, b)
+
+
 def exact_almost_links(calls: DataFrame, endpoints: DataFrame, exact: Sequence[str], almost: Sequence[str], call: str, endpoint: str) -> DataFrame:
     """Each call's status: exact, almost or orphan, with the smallest endpoint of that match.
 

@@ -237,8 +237,8 @@ def upsert_first_wins(spark, d):
 p AS (SELECT DISTINCT a, b FROM a JOIN b USING (h)), c AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS x, count(*) OVER (PARTITION BY b) AS y FROM p) SELECT a, b FROM c WHERE x = 1 AND y = 1""")
 def relocation_match(spark, d):
     h = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    pairs = h.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("a"), "h").join(h.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("b"), "h"), "h")
-    return links.unique_both_ways(pairs, "a", "b")
+    sides = (h.filter(F.col("doc_id") % 2 == i).withColumnRenamed("doc_id", n) for i, n in enumerate("ab"))
+    return links.unique_matches(*sides, ["h"], "a", "b")
 
 
 # --- resolving joins --------------------------------------------------------------------------------------------------
@@ -269,11 +269,11 @@ def interval_owner(spark, d):
     return links.narrowest_interval(e.select("event_id", "user_id", "ts"), ranges, ["user_id"], "ts", "s", "e", "name", ["event_id"])
 
 
-@query(f"""WITH x AS (SELECT page_id, {_ROUTE} AS route FROM pages), p AS (SELECT DISTINCT string_split(route, '/')[1] AS prefix FROM x UNION SELECT route FROM x WHERE page_id % 5 = 0)
+@query(f"""WITH x AS (SELECT page_id, url, {_ROUTE} AS route FROM pages), p AS (SELECT DISTINCT string_split(route, '/')[1] AS prefix FROM x UNION SELECT route FROM x WHERE starts_with(url, 'https'))
 SELECT page_id, arg_max(prefix, length(prefix)) AS prefix FROM x JOIN p ON route = prefix OR starts_with(route, prefix || '/') GROUP BY 1""")
 def longest_prefix(spark, d):
-    x = table(spark, d, "pages").select("page_id", routes.normalize_route(F.col("url")).alias("route"))
-    prefixes = x.select(F.split_part("route", F.lit("/"), F.lit(1)).alias("prefix")).union(x.filter("page_id % 5 = 0").select("route")).distinct()
+    x = table(spark, d, "pages").select("page_id", "url", routes.normalize_route(F.col("url")).alias("route"))
+    prefixes = x.select(F.split_part("route", F.lit("/"), F.lit(1)).alias("prefix")).union(x.filter("url like 'https%'").select("route")).distinct()
     return links.longest_prefix(x, "route", prefixes, "prefix").select("page_id", "prefix")
 
 
@@ -355,17 +355,18 @@ def fanout_shared(spark, d):
     return graph.shared_nodes(pairs, 25).select(F.col("node").cast("long").alias("node"), "fanout")
 
 
-@query(f"WITH RECURSIVE {_FK} SELECT DISTINCT root FROM p WHERE node IN (SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 4999 = 7)")
+@query(f"WITH RECURSIVE {_FK} SELECT DISTINCT root FROM p WHERE node IN (SELECT 'o' || o_orderkey FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders))")
 def affects(spark, d):
-    changed = table(spark, d, "orders").filter("o_orderkey % 4999 = 7").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    o = table(spark, d, "orders")
+    changed = o.filter(F.col("o_orderdate") == o.agg(F.max("o_orderdate").alias("m")).scalar()).select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
     return graph.affects(graph.reach_pairs(_fk_edges(spark, d), _regions(spark, d)), changed)
 
 
-@query("""WITH RECURSIVE u AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_orderkey % 400 = 1), e AS (SELECT a AS src, b AS dst FROM u UNION SELECT b, a FROM u),
+@query("""WITH RECURSIVE u AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), e AS (SELECT a AS src, b AS dst FROM u UNION SELECT b, a FROM u),
 s AS (SELECT min(src) AS source, max(src) AS target FROM e), p AS (SELECT source AS node, 0 AS level FROM s UNION SELECT e.dst, p.level + 1 FROM p JOIN e ON p.node = e.src WHERE p.level < 12)
 SELECT coalesce(min(level), -1) AS steps FROM p JOIN s ON p.node = s.target""")
 def shortest_path(spark, d):
-    u = table(spark, d, "lineitem").filter("l_orderkey % 400 = 1").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    u = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
     edges = u.union(u.select("dst", "src")).distinct()
     ends = edges.agg(F.min("src").alias("a"), F.max("src").alias("b")).first()
     return graph.shortest_path(edges, ends.a, ends.b).agg(F.coalesce(F.max("step"), F.lit(-1)).alias("steps"))
@@ -381,7 +382,7 @@ def scc_size(spark, d):
     return graph.strongly_connected(edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-_RANK_EDGES = "SELECT DISTINCT 'n' || s_nationkey AS src, 's' || s_suppkey AS dst FROM supplier UNION SELECT DISTINCT 's' || l_suppkey, 'n' || (l_partkey % 25) FROM lineitem WHERE l_orderkey % 50 = 0 UNION SELECT 's' || s_suppkey, 'x' || (s_suppkey % 7) FROM supplier WHERE s_suppkey % 3 = 0"
+_RANK_EDGES = "SELECT DISTINCT 'n' || s_nationkey AS src, 's' || s_suppkey AS dst FROM supplier UNION SELECT DISTINCT 's' || l_suppkey, 'n' || (l_partkey % 25) FROM lineitem UNION SELECT 's' || s_suppkey, 'x' || (s_suppkey % 7) FROM supplier WHERE s_suppkey % 3 = 0"
 
 
 def _rank_sql(rounds: int) -> str:
@@ -399,18 +400,17 @@ def pagerank20(spark, d):
     s = table(spark, d, "supplier")
     tag = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     edges = s.select(tag("n", F.col("s_nationkey")).alias("src"), tag("s", F.col("s_suppkey")).alias("dst"))
-    edges = edges.union(table(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select(tag("s", F.col("l_suppkey")), tag("n", F.col("l_partkey") % 25)))
+    edges = edges.union(table(spark, d, "lineitem").select(tag("s", F.col("l_suppkey")), tag("n", F.col("l_partkey") % 25)))
     edges = edges.union(s.filter("s_suppkey % 3 = 0").select(tag("s", F.col("s_suppkey")), tag("x", F.col("s_suppkey") % 7))).distinct()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return graph.pagerank(nodes, edges).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("""WITH p AS (SELECT DISTINCT c_mktsegment AS root, l_partkey AS node FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 0)
-SELECT node, min(root) AS root FROM p GROUP BY 1 HAVING count(DISTINCT root) = 1""")
+@query("""SELECT o_orderkey AS node, c_mktsegment AS root FROM customer JOIN orders ON c_custkey = o_custkey UNION ALL SELECT -c_custkey - 1, c_mktsegment FROM customer""")
 def absorb_unique(spark, d):
-    j = table(spark, d, "customer").join(table(spark, d, "orders").filter("o_orderkey % 20 = 0"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    edges = j.select(F.concat(F.lit("seg:"), F.col("c_mktsegment")).alias("src"), F.col("l_partkey").cast("string").alias("dst"))
-    pairs = graph.reach_pairs(edges, edges.select(F.col("src").alias("root")))
+    c, tag = table(spark, d, "customer"), lambda n: n.cast("string")
+    edges = c.select(F.concat(F.lit("seg:"), "c_mktsegment").alias("src"), tag(-F.col("c_custkey") - 1).alias("dst")).union(table(spark, d, "orders").select(tag(-F.col("o_custkey") - 1), tag(F.col("o_orderkey"))))
+    pairs = graph.reach_pairs(edges, c.select(F.concat(F.lit("seg:"), "c_mktsegment").alias("root")))
     return graph.owned_by_one(pairs).select(F.col("node").cast("long").alias("node"), F.substring("root", 5, 100).alias("root"))
 
 
@@ -423,11 +423,11 @@ def closure_types(spark, d):
     return graph.base_type_closure(direct)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_orderkey % 10 = 0 UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem WHERE l_orderkey % 10 = 0 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0 UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
 p AS (SELECT 'c1' AS node, 0 AS level UNION SELECT 'c2', 0 UNION SELECT 'c4', 0 UNION SELECT e.dst, p.level + 1 FROM p JOIN e ON p.node = e.src WHERE p.level < 3) SELECT level, count(*) AS nodes FROM (SELECT node, min(level) AS level FROM p GROUP BY 1) GROUP BY 1""")
 def bounded_bfs(spark, d):
-    l, tag = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0"), lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))  # noqa: E741
-    edges = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst")).union(l.select(tag("o", "l_orderkey"), tag("p", "l_partkey"))).union(l.select(tag("p", "l_partkey"), tag("s", "l_suppkey")))
+    l, tag = table(spark, d, "lineitem"), lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))  # noqa: E741
+    edges = table(spark, d, "orders").select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst")).union(l.select(tag("o", "l_orderkey"), tag("p", "l_partkey"))).union(l.select(tag("p", "l_partkey"), tag("s", "l_suppkey")))
     edges = edges.union(table(spark, d, "supplier").select(tag("s", "s_suppkey"), tag("n", "s_nationkey")))
     start = spark.createDataFrame([("c1",), ("c2",), ("c4",)], "root string")
     pairs = graph.reach_pairs(edges, start, max_depth=3)

@@ -148,9 +148,9 @@ def route_expansion(spark, d):
     return web.expand_routes(root.union(leaf))
 
 
-@query("""SELECT conv_id, turn, role AS name, len(trim(regexp_replace(text, '\\s+', ' ', 'g'))) = 0 AS empty, true AS restored FROM conversations WHERE turn < 2""")
+@query("""SELECT conv_id, turn, role AS name, len(trim(regexp_replace(text, '\\s+', ' ', 'g'))) = 0 AS empty, true AS restored FROM conversations""")
 def document_zones(spark, d):
-    c = table(spark, d, "conversations").filter("turn < 2")
+    c = table(spark, d, "conversations")
     key = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     body = F.concat(F.lit("---\nid: "), key, F.lit("\n---\n# Title\n<!-- managed:generated:start -->\nx\n<!-- managed:generated:end -->\n<!-- managed:section:start "), "role", F.lit(" -->\n"), "text", F.lit("\n<!-- managed:section:end "), "role", F.lit(" -->\nend"))
     files = c.select(*_file(F.concat(F.lit("docs/"), key, F.lit(".md")), body))
@@ -160,21 +160,21 @@ def document_zones(spark, d):
     return parts.select(ids[0].cast("long").alias("conv_id"), ids[1].cast("long").alias("turn"), F.col("s.name").alias("name"), documents.is_empty(F.col("s.body")).alias("empty"), "restored")
 
 
-@query("""WITH a AS (SELECT 'doc' || o_orderkey % 50 AS doc, o_orderpriority AS ref, o_orderstatus AS kind FROM orders WHERE o_orderkey < 600 GROUP BY 1, 2, 3), k AS (SELECT kind, ref, count(DISTINCT t) AS n FROM (SELECT 'O' AS kind, o_orderpriority AS ref, 't' || o_custkey % 2 AS t FROM orders WHERE o_orderpriority < '3' UNION SELECT 'F', o_orderpriority, 'u' FROM orders) GROUP BY 1, 2),
+@query("""WITH a AS (SELECT 'doc' || o_orderkey % 50 AS doc, o_orderpriority AS ref, o_orderstatus AS kind FROM orders GROUP BY 1, 2, 3), k AS (SELECT kind, ref, count(DISTINCT t) AS n FROM (SELECT 'O' AS kind, o_orderpriority AS ref, 't' || o_custkey % 2 AS t FROM orders WHERE o_orderpriority < '3' UNION SELECT 'F', o_orderpriority, 'u' FROM orders) GROUP BY 1, 2),
 r AS (SELECT a.doc, a.kind, a.ref, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS state FROM a LEFT JOIN k ON a.kind = k.kind AND a.ref = k.ref) SELECT doc, state, count(*) AS n FROM r GROUP BY 1, 2""")
 def anchor_ladder(spark, d):
     o = table(spark, d, "orders")
-    anchors = o.filter("o_orderkey < 600").select(F.concat(F.lit("doc"), (F.col("o_orderkey") % 50).cast("string")).alias("doc"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("ref"), F.lit(True).alias("verify")).distinct()
+    anchors = o.select(F.concat(F.lit("doc"), (F.col("o_orderkey") % 50).cast("string")).alias("doc"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("ref"), F.lit(True).alias("verify")).distinct()
     low = o.filter("o_orderpriority < '3'").select(F.lit("registry").alias("rung"), F.lit("O").alias("kind"), F.col("o_orderpriority").alias("ref"), F.concat(F.lit("t"), (F.col("o_custkey") % 2).cast("string")).alias("target"))
     known = low.union(o.select(F.lit("symbol"), F.lit("F"), "o_orderpriority", F.lit("u"))).union(low.select(F.lit("literal"), "kind", "ref", F.lit("later"))).distinct()
     return business.resolve_anchors(anchors, known).groupBy("doc", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders WHERE o_custkey < 200), x AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b, l_returnflag AS action FROM lineitem), f AS (SELECT a, b, min(action) AS action FROM x GROUP BY 1, 2)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders), x AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b, l_returnflag AS action FROM lineitem), f AS (SELECT a, b, min(action) AS action FROM x GROUP BY 1, 2)
 SELECT e.a AS page, f.b AS type, 2 AS level, min(f.action) AS action FROM e JOIN f ON e.b = f.a GROUP BY 1, 2""")
 def called_chain(spark, d):
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    o = table(spark, d, "orders").filter("o_custkey < 200").select(tag("c", "o_custkey").alias("type"), F.lit("m").alias("member"), tag("o", "o_orderkey").alias("to_type"), F.lit("m").alias("to_member"), F.lit("").alias("action"))
+    o = table(spark, d, "orders").select(tag("c", "o_custkey").alias("type"), F.lit("m").alias("member"), tag("o", "o_orderkey").alias("to_type"), F.lit("m").alias("to_member"), F.lit("").alias("action"))
     lines = table(spark, d, "lineitem").select(tag("o", "l_orderkey"), F.lit("m"), tag("p", "l_partkey"), F.lit("m"), F.col("l_returnflag"))
     start = o.select(F.col("type").alias("page"), "type", "member")
     return web.called_from(start, o.union(lines)).filter("level = 2").select("page", "type", "level", "action")
@@ -204,7 +204,7 @@ def graph_reach(spark, d):
     return pairs.filter("node <> root").groupBy(F.substring("root", 7, 1000).alias("root")).agg(F.count(F.lit(1)).alias("reached"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS x FROM documents WHERE doc_id < 200) SELECT x, CASE WHEN contains(x, '/') THEN 'route' WHEN regexp_matches(x, '^[A-Z][A-Z0-9_]{2,}$') THEN 'upper_name' WHEN regexp_matches(x, '^[A-Za-z_]\w*(\.[A-Za-z_]\w*)+$') THEN 'dotted_name' WHEN regexp_matches(x, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN 'dashed_name' ELSE 'identifier' END AS kind FROM w""")
+@query(r"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS x FROM documents) SELECT x, CASE WHEN contains(x, '/') THEN 'route' WHEN regexp_matches(x, '^[A-Z][A-Z0-9_]{2,}$') THEN 'upper_name' WHEN regexp_matches(x, '^[A-Za-z_]\w*(\.[A-Za-z_]\w*)+$') THEN 'dotted_name' WHEN regexp_matches(x, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN 'dashed_name' ELSE 'identifier' END AS kind FROM w""")
 def seam_kinds(spark, d):
-    words = table(spark, d, "documents").filter("doc_id < 200").select(F.explode(F.split("text", " ")).alias("x")).distinct()
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("x")).distinct()
     return words.select("x", text.seam_kind(F.col("x")).alias("kind"))

@@ -106,6 +106,18 @@ def test_resolution_and_links(spark):
     assert [tuple(r) for r in links.unique_both_ways(two, "a", "b").collect()] == [(4, "w")]
 
 
+def test_unique_matches_by_several_keys(spark):
+    import random
+
+    rng, schema = random.Random(4), "{} string, f string, g string"
+    for _ in range(4):
+        a, b = ([(f"{n}{i}", rng.choice(["", *"pqrstu"]), rng.choice(["", *"vwxyzk"])) for i in range(7)] for n in "ab")
+        found = {(x[0], y[0]) for x in a for y in b if x[1] and x[1] == y[1] or x[2] and x[2] == y[2]}
+        want = {p for p in found if sum(q[0] == p[0] for q in found) == 1 == sum(q[1] == p[1] for q in found)}
+        got = links.unique_matches(spark.createDataFrame(a, schema.format("a")), spark.createDataFrame(b, schema.format("b")), ["f", "g"], "a", "b")
+        assert {tuple(r) for r in got.collect()} == want
+
+
 def test_snapshots(spark):
     schema = "id int, kind string, doc_path string, signature_hash string"
     old = spark.createDataFrame([(1, "a", "p", "s"), (2, "a", "p", "s"), (3, "a", "p", "s"), (4, "a", "p", "s"), (5, "a", "p", "s")], schema)
