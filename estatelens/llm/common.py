@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import bounded_broadcast, shared_folder, stored
 
-__all__ = ["bounded_broadcast", "documents", "id_residue", "shared_folder", "small_batches", "stored", "text_of", "utf8_of"]
+__all__ = ["bounded_broadcast", "documents", "id_residue", "shared_folder", "small_batches", "stored", "text_of", "trimmed", "utf8_of"]
 
 #: Rows in one Arrow batch; texts are long, so the default of 10,000 rows could fill a worker's memory.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,3 +37,22 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
+
+
+def trimmed(run):
+    """run, a function over Arrow batches, that gives free memory back to the system when a task ends: workers outlive it."""
+
+    def task(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return task

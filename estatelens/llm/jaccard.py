@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, small_batches, stored, utf8_of
+from .common import bounded_broadcast, small_batches, stored, trimmed, utf8_of
 
 WIDTH = 5
 #: Linked: LINK[1] * intersection >= LINK[0] * union.
@@ -30,7 +30,7 @@ PARITY_WORDS = 16
 BROADCAST_IDS = 1_000_000
 #: Members of a run that are compared with as many others at once.
 BLOCK = 1024
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS = 100_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,7 +126,7 @@ def _rows(df: DataFrame, schema: str, make) -> DataFrame:
             made = list(zip(*(make(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, kinds)], names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def _describe(i, text: bytes) -> tuple:
@@ -139,12 +139,9 @@ def _describe(i, text: bytes) -> tuple:
 def _runs(batches):
     """From keys in order: (key, first, other, rank) for each further member of a run."""
     key, first, rank = None, None, 0
-    for batch in batches:
-        k, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(k):
-            continue
+    for k, ids in _gathered(batches):
         starts = np.flatnonzero(np.append(key is None or k[0] != key, k[1:] != k[:-1]))
-        of = np.searchsorted(starts, np.arange(len(k)), side="right") - 1  # -1: goes on from the batch before
+        of = np.searchsorted(starts, np.arange(len(k)), side="right") - 1  # -1: goes on from the rows before
         begun = np.where(of >= 0, starts[of] if len(starts) else 0, 0)
         firsts = np.where(of >= 0, ids[begun], first if first is not None else 0)
         ranks = np.arange(len(k)) - begun + np.where(of >= 0, 0, rank + 1)
@@ -153,6 +150,20 @@ def _runs(batches):
         key, first, rank = k[-1], firsts[-1], int(ranks[-1])
 
 
+def _gathered(batches, least: int = 1 << 16):
+    """(keys, ids) of as many batches at a time as make so many rows: texts need small batches, numbers don't."""
+    parts, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+        if n >= least:
+            yield tuple(map(np.concatenate, zip(*parts)))
+            parts, n = [], 0
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts)))
+
+
 def _compatible(a: str, b: str) -> Column:
     """Whether sizes and parity bits allow a link."""
     n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
@@ -182,7 +193,7 @@ def _verified(pairs: DataFrame, described: DataFrame, docs: DataFrame) -> DataFr
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     small_batches(docs.sparkSession)
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(links, "a long, b long").distinct()
+    return both.select("a", "b", "s_a", "s_b").mapInArrow(trimmed(links), "a long, b long").distinct()
 
 
 def _leftover(batches):
@@ -270,7 +281,7 @@ def link_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     others = bounded_broadcast(stored(others, "jaccard-others"), BROADCAST_IDS)
     keys = _rows(docs, "id long, keys array<long>", lambda i, t: (i, sketch_keys(shingles(t)).view(np.int64).tolist()))
     keys = keys.join(others, keys["id"] == others["other"], "left_anti").select(F.explode("keys").alias("key"), "id")
-    runs = stored(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_runs, "key long, first long, other long, rank long"), "jaccard-runs")
+    runs = stored(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(_runs), "key long, first long, other long, rank long"), "jaccard-runs")
     near = runs.select(F.col("first").alias("a"), F.col("other").alias("b")).distinct()
     links = stored(_verified(near, some, docs), "jaccard-links")
     found = components(links)
@@ -283,7 +294,7 @@ def link_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     packed = F.concat(*(F.unhex(F.lpad(F.hex(F.get("p", F.lit(i))), 16, "0")) for i in range(PARITY_WORDS)))
     small_batches(df.sparkSession)
     left = members.select("key", "id", "c", "n", packed.alias("p")).repartition("key").sortWithinPartitions("key", "id")
-    rest = stored(left.mapInArrow(_leftover, "a long, b long").distinct().join(near, ["a", "b"], "left_anti"), "jaccard-leftover")
+    rest = stored(left.mapInArrow(trimmed(_leftover), "a long, b long").distinct().join(near, ["a", "b"], "left_anti"), "jaccard-leftover")
     if not rest.isEmpty():
         links = stored(links.union(_verified(rest, some, docs)), "jaccard-all-links")
         found = components(links)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import id_residue, small_batches, text_of
+from .common import id_residue, small_batches, text_of, trimmed
 
 DIMENSIONS = 512
 SEED = 97
@@ -28,7 +28,7 @@ ALPHABET = OWN + HASHED
 #: Trigrams up to which a longer training text counts for more; a text's counts are taken in units of 1 / SCALE.
 LONGEST, SCALE = 1000, 64
 #: Texts bundled at once.
-GROUP = 128
+GROUP = 64
 #: Sharpness of the score.
 SHARPNESS = 12.0
 UNKNOWN = "und"
@@ -120,13 +120,13 @@ def learn_profiles(labelled: DataFrame, text: str = "text", label: str = "lang")
                 by_label = np.zeros((len(names), len(kinds)), np.int64)
                 length = np.maximum(counts.sum(axis=1, keepdims=True), 1)
                 np.add.at(by_label, which, np.rint(counts * (SCALE * np.minimum(1.0, LONGEST / length))).astype(np.int64))
-                vectors = by_label.astype(np.float64) @ trigram_vectors(kinds).astype(np.float64)  # whole numbers
+                vectors = by_label.astype(np.float32) @ trigram_vectors(kinds).astype(np.float32)  # whole numbers below 2**24: exact
                 for name, v in zip(names, vectors):
                     sums[name] = sums.get(name, 0) + np.rint(v).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["l", "v"])
 
-    parts = rows.mapInArrow(bundle, "l string, v array<bigint>").select("l", F.posexplode("v").alias("i", "x"))
+    parts = rows.mapInArrow(trimmed(bundle), "l string, v array<bigint>").select("l", F.posexplode("v").alias("i", "x"))
     out: dict[str, np.ndarray] = {}
     for r in parts.groupBy("l", "i").agg(F.sum("x").alias("x")).collect():
         out.setdefault(r.l, np.zeros(DIMENSIONS))[r.i] = r.x
@@ -143,7 +143,7 @@ def identify(df: DataFrame, profiles: Profiles, key: str = "doc_id", text: str =
             languages, scores = profiles.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages, pa.string()), pa.array(scores)], ["k", "lang_pred", "score"])
 
-    return df.mapInArrow(run, f"k {df.schema['k'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("k", key)
+    return df.mapInArrow(trimmed(run), f"k {df.schema['k'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("k", key)
 
 
 def with_language(df: DataFrame, profiles: Profiles, text: str = "text", out: str = "lang_pred") -> DataFrame:
@@ -156,7 +156,7 @@ def with_language(df: DataFrame, profiles: Profiles, text: str = "text", out: st
             texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
             yield batch.append_column(out, pa.array(profiles.predict(texts)[0], pa.string()))
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
+    return df.mapInArrow(trimmed(run), StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_residue, small_batches, stored, utf8_of
+from .common import id_residue, small_batches, stored, trimmed, utf8_of
 
 #: Classes of the model: the end, the other words, then the most frequent words.
 CLASSES = 512
@@ -59,7 +59,7 @@ def count_words(train: DataFrame) -> DataFrame:
         if counts:
             yield batch_of(counts)
 
-    return train.select("t").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return train.select("t").mapInArrow(trimmed(run), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -121,7 +121,7 @@ def count_pairs(train: DataFrame, classes: dict[bytes, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["i", "n"])
 
     out = np.zeros(CLASSES * CLASSES)
-    for r in train.select("t").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes at most
+    for r in train.select("t").mapInArrow(trimmed(run), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes at most
         out[r.i] = r.n
     return out.reshape(CLASSES, CLASSES)
 
@@ -187,7 +187,7 @@ def _score(df: DataFrame, model: Model) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(columns, kinds))], ["k", "h", "n", "known", "base", "score", "others", "rare", "times", "classed"])
 
-    return df.select("k", "h", "t").mapInArrow(run, f"k {kind}, h bigint, n bigint, known bigint, base double, score double, others bigint, rare array<binary>, times array<bigint>, classed array<boolean>")
+    return df.select("k", "h", "t").mapInArrow(trimmed(run), f"k {kind}, h bigint, n bigint, known bigint, base double, score double, others bigint, rare array<binary>, times array<bigint>, classed array<boolean>")
 
 
 def score_texts(df: DataFrame, model: Model, rare_counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

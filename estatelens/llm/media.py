@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trimmed
 
 PACKET, SYNC, BODY = 188, 0x47, 184
 PAT_PID, PMT_PID, MEDIA_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
@@ -189,7 +189,7 @@ def media_column(df: DataFrame, key: str, data: str = "data", unit_bytes: int =
                 ["k", "media", "payload", "pts", "random_access", "packets", "discontinuities"],
             )
 
-    out = df.mapInArrow(run, f"k {key_type}, media binary, payload binary, pts array<bigint>, random_access array<int>, packets bigint, discontinuities bigint")
+    out = df.mapInArrow(trimmed(run), f"k {key_type}, media binary, payload binary, pts array<bigint>, random_access array<int>, packets bigint, discontinuities bigint")
     return out.withColumnRenamed("k", key)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_residue, small_batches, utf8_of
+from .common import id_residue, small_batches, trimmed, utf8_of
 
 #: Labelled rows that training uses at most: those with the smallest hashes of their ids.
 MAX_LABELLED = 20_000
@@ -122,7 +122,7 @@ def features(df: DataFrame, keep: str, text: str = "text") -> DataFrame:
             rows = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["k", "features"])
 
-    return df.mapInArrow(run, f"k {df.schema['k'].dataType.simpleString()}, features array<double>").withColumnRenamed("k", keep)
+    return df.mapInArrow(trimmed(run), f"k {df.schema['k'].dataType.simpleString()}, features array<double>").withColumnRenamed("k", keep)
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_LABELLED, key: str = "doc_id") -> Trees:
@@ -146,7 +146,7 @@ def score_quality(df: DataFrame, trees: Trees, key: str = "doc_id", text: str =
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(x))], ["k", "score"])
 
-    return df.mapInArrow(run, f"k {df.schema['k'].dataType.simpleString()}, score double").withColumnRenamed("k", key)
+    return df.mapInArrow(trimmed(run), f"k {df.schema['k'].dataType.simpleString()}, score double").withColumnRenamed("k", key)
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

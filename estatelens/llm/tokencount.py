@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8_of
+from .common import small_batches, trimmed, utf8_of
 
 MAX_PIECES = 400_000
 CHUNK = 512
@@ -177,4 +177,4 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 1024, key: str = "d
             n = _counter(tokenizer).counts([x.decode("utf-8", "replace") for x in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["k", "n_bytes", "n_tokens", "over_limit"])
 
-    return df.mapInArrow(run, f"k {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("k", key)
+    return df.mapInArrow(trimmed(run), f"k {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("k", key)
