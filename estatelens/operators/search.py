@@ -53,6 +53,9 @@ def similar_names(names: DataFrame, wanted: DataFrame, least: float = 0.7, limit
     from pyspark.sql import Window
 
     from ..functions.text import trigrams
+    from ..plans.ship import ship
+
+    ship(names.sparkSession)
 
     last = lambda c: F.element_at(F.split(F.lower(c), r"\."), -1)
     a = wanted.select(F.col("name").alias("wanted")).distinct().withColumn("g", F.explode(trigrams(last(F.col("wanted")))))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, _parse_datatype_string
 
+from ..plans.ship import ship
 from .files import scan
 
 #: The word that begins a marker.
@@ -88,6 +89,8 @@ def zone_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def unified_diff(pairs: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
     """pairs with the unified text diff of two columns; empty for equal texts."""
+    ship(pairs.sparkSession)
+
     @F.pandas_udf(StringType())
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import unified_diff as lines

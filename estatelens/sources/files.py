@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.paths import has_segment, in_scope, matches_glob
 from ..functions.text import language_of
+from ..plans.ship import ship
 
 #: Folders that hold builds and third-party code.
 SKIPPED = (".git", ".hg", ".svn", ".idea", ".vs", ".vscode", "node_modules", "bower_components", "obj", "bin", "dist", "coverage", "vendor", "__pycache__", ".venv", "venv")
@@ -69,6 +70,7 @@ def scan(files: DataFrame, schema: StructType, scanner: Callable[[str, str], dic
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     spark = files.sparkSession
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_FILES:
         spark.conf.set(key, str(BATCH_FILES))
