@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from ..plans.tables import bounded_broadcast, shared_folder, stored
 
 __all__ = ["bounded_broadcast", "documents", "id_residue", "shared_folder", "small_batches", "stored", "text_of", "trimmed", "utf8_of"]
@@ -33,7 +34,8 @@ def id_residue(divisor: int, column: str = "doc_id") -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, as whole texts travel in them."""
+    """Bounds the rows of an Arrow batch, as whole texts travel in them, and sends this package to the workers."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
