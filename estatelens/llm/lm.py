@@ -1,18 +1,19 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
 
-The corpus gives exact counts of all words, and of pairs of neighbours among the most frequent words, the end and one
-class for all other words. These pair counts are the whole corpus's sufficient statistics for a log-bilinear model with
-one context word: logit = context vector . word vector + bias. Training takes noise-contrastive gradients in
-expectation over all pairs and all noise, as matrix products; one more product and a softmax by row give the table of normalised
-log-probabilities. A word outside the vocabulary has the class's probability times its own smoothed share within the class.
+Every word of the corpus has a vector of its own as target; logit = log of its count + word vector . state's features. The
+state is that of the word before: the end and the most frequent words are states, the other frequent words take the
+state whose next words are most like theirs, and words that aren't frequent share one. The states' vectors come from exact
+pair counts, in which words that aren't states count by hash. Each word's vector is then fitted to the exact counts of the states before it, with sampled noise; as noise-contrastive
+estimation parts the words, they are fitted where they lie, whatever their number. The normaliser of a state is the sum over all words.
 
-Counts of frequent words are broadcast, of a proven number; rare words are joined by shuffle, and none of them is
+Counts, states and vectors of frequent words are broadcast, of a proven number; rare words are joined by shuffle, and none of them is
 frequent enough to make a hot key.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import id_residue, small_batches, stored, trimmed, utf8_of
 
-#: Classes of the model: the end, the other words, then the most frequent words.
+#: States of the model: the end, the other words, then the most frequent words.
 CLASSES = 512
 END, OTHER = 0, 1
 #: What stands for the end among words; no word has white space.
@@ -33,6 +34,12 @@ MAX_FREQUENT = 1 << 19
 FLUSH = 200_000
 DIMENSIONS, NOISE, STEPS, RATE, SEED = 48, 12.0, 400, 0.03, 11
 SMOOTH = 0.1
+#: Pairs a task adds up before it gives them out; tokens scored at once; evidence (log10) for a state of one's own; a state's
+#: longest row of features.
+PAIRS_HELD, PART, STATE_MARGIN, LENGTH = 1 << 20, 1 << 14, 2.0, 10.0
+#: Words seen less than SOME times take one step from nothing, those seen less than OFTEN times further ones with
+#: SAMPLED states as noise, others with all states; a word vector's prior.
+SOME, OFTEN, SAMPLED, STEPS_BY_KIND, RIDGE = 16, 1000, 96, (0, 8, 24), np.float32(1000)
 #: Sums over shuffled rows are taken in units of 2**-36, so that their order doesn't matter.
 UNIT = float(1 << 36)
 
@@ -64,35 +71,38 @@ def count_words(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """words: frequent words with counts; classes of the first ones follow from their order. table: log10 P(class | context)."""
+    """words: frequent words, the end first, with counts, vectors and states as context, and last the state of all other
+    words. P(word | state) = (count + SMOOTH) * exp(vector . phi[state]) / 10**scale[state], over all words of the corpus
+    and one share for the unseen ones."""
 
     words: list[bytes]
     counts: np.ndarray
-    classes: dict[bytes, int]
-    table: np.ndarray
+    states: np.ndarray
+    vectors: np.ndarray
+    phi: np.ndarray
+    scale: np.ndarray
     total: int
     distinct: int
-    other_total: int
-    other_distinct: int
     mark: str  # tells models apart in a worker that serves several
 
     @property
     def base_scale(self) -> float:
         return float(np.log10(self.total + SMOOTH * (self.distinct + 1)))
 
-    @property
-    def other_scale(self) -> float:
-        return float(np.log10(self.other_total + SMOOTH * (self.other_distinct + 1)))
-
 
 def train_table(pairs: np.ndarray) -> np.ndarray:
     """log10 P(class | context) of a log-bilinear model fitted to counts by context and class."""
-    rng, n = np.random.default_rng(SEED), len(pairs)
+    return train_vectors(pairs)[1]
+
+
+def train_vectors(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context vectors of a log-bilinear model fitted to counts by context and class, and its table of log10 P(class | context)."""
+    rng, (n, wide) = np.random.default_rng(SEED), pairs.shape
     by_word = pairs.sum(axis=0) + 0.5
     noise = by_word / by_word.sum()
     data = pairs / max(pairs.sum(), 1)
     weight = NOISE * data.sum(axis=1, keepdims=True) * noise
-    p = [rng.normal(0, 0.05, (n, DIMENSIONS)), rng.normal(0, 0.05, (n, DIMENSIONS)), np.log(noise)]
+    p = [rng.normal(0, 0.05, (n, DIMENSIONS)), rng.normal(0, 0.05, (wide, DIMENSIONS)), np.log(noise)]
     shift, m, v = np.log(NOISE * noise), [0.0] * 3, [0.0] * 3
     for step in range(1, STEPS + 1):
         true = 1 / (1 + np.exp(-(p[0] @ p[1].T + p[2] - shift)))
@@ -103,31 +113,199 @@ def train_table(pairs: np.ndarray) -> np.ndarray:
             p[i] = p[i] + RATE * (1 - step / (STEPS + 1)) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
     logits = p[0] @ p[1].T + p[2]
     logits -= logits.max(axis=1, keepdims=True)
-    return (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / np.log(10)
+    return p[0], (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / np.log(10)
 
 
-def count_pairs(train: DataFrame, classes: dict[bytes, int]) -> np.ndarray:
-    """Counts of (class before, class) over all texts; a text begins after the end. Added up per task, then by shuffle."""
+def _share(train: DataFrame, value):
     small_batches(train.sparkSession)
+    return train.sparkSession.sparkContext.broadcast(value)
+
+
+def _index(words: list[bytes], mark: str) -> dict[bytes, int]:
+    if mark not in _LOADED:
+        _LOADED.clear()
+        _LOADED[mark] = {w: i for i, w in enumerate(words)}
+    return _LOADED[mark]
+
+
+_LOADED: dict[str, dict[bytes, int]] = {}
+
+
+def _class_of(at, anchors: int):
+    """The class of a frequent word by its place; the end is the first word."""
+    return np.where(at == 0, END, np.where(at <= anchors, at + 1, OTHER))
+
+
+def _summed(parts: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, which = np.unique(np.concatenate(parts), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate(numbers)).astype(np.int64)
+
+
+def count_contexts(train: DataFrame, words: list[bytes], anchors: int, mark: str) -> DataFrame:
+    """(u, k, n): how often a word of class k follows the frequent word u, or a word that isn't frequent (u = len(words)).
+
+    Words that aren't states are told apart by hash, in as many further classes.
+    """
+    shared = _share(train, words)
 
     def run(batches):
-        sums = np.zeros(CLASSES * CLASSES, np.int64)
+        index, count = _index(shared.value, mark), len(shared.value)
+        hashed = lambda w: CLASSES + zlib.crc32(w) % CLASSES
+        of = np.append(_class_of(np.arange(count), anchors), OTHER)
+        of[anchors + 1 : count] = [hashed(w) for w in shared.value[anchors + 1 :]]
+        keys, numbers, held = [], [], 0
+
+        def sums():
+            i, n = _summed(keys, numbers)
+            return pa.RecordBatch.from_arrays([pa.array(i // (2 * CLASSES)), pa.array(i % (2 * CLASSES)), pa.array(n)], ["u", "k", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                c = np.array([END, *(classes.get(w, OTHER) for w in _tokens(text))])
-                at, n = np.unique(c[:-1] * CLASSES + c[1:], return_counts=True)
-                sums[at] += n
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["i", "n"])
+                tokens = _tokens(text)
+                at = np.array([0, *(index.get(w, count) for w in tokens)], np.int64)
+                k = of[at[1:]]
+                for i in np.flatnonzero(at[1:] == count):
+                    k[i] = hashed(tokens[i])
+                keys.append(at[:-1] * 2 * CLASSES + k)
+                numbers.append(np.ones(len(at) - 1, np.int64))
+                held += len(at) - 1
+            if held > PAIRS_HELD:
+                i, n = _summed(keys, numbers)
+                keys, numbers, held = [i], [n], len(i)
+                if held > PAIRS_HELD // 2:
+                    yield sums()
+                    keys, numbers, held = [], [], 0
+        if keys:
+            yield sums()
+
+    return train.select("t").mapInArrow(trimmed(run), "u bigint, k bigint, n bigint").groupBy("u", "k").agg(F.sum("n").alias("n"))
+
+
+def assign_states(contexts: DataFrame, table: np.ndarray, anchors: int) -> DataFrame:
+    """(u, s): the state of each frequent word that isn't an anchor, that whose next classes are most like the word's own."""
+    shared = _share(contexts, table.astype(np.float32))
+
+    def run(batches):
+        t = shared.value
+        for batch in batches:
+            ks, ns = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            sums = np.stack([t[:, k] @ np.array(n, np.float32) for k, n in zip(ks, ns)]) if ks else np.zeros((0, len(t)))
+            sums[:, OTHER] += STATE_MARGIN  # without evidence for another state a word stays with the others
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums.argmax(axis=1).astype(np.int64))], ["u", "s"])
 
-    out = np.zeros(CLASSES * CLASSES)
-    for r in train.select("t").mapInArrow(trimmed(run), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes at most
-        out[r.i] = r.n
-    return out.reshape(CLASSES, CLASSES)
+    pair = F.sort_array(F.collect_list(F.struct("k", "n")))
+    rows = contexts.filter(F.col("u") > anchors).groupBy("u").agg(pair.alias("x")).select("u", F.col("x.k").alias("k"), F.col("x.n").alias("n"))
+    return rows.mapInArrow(trimmed(run), "u bigint, s bigint")
+
+
+def count_targets(train: DataFrame, words: list[bytes], states: np.ndarray, mark: str) -> DataFrame:
+    """(w, word, js, ns): of every word of the corpus how often it follows each state; w is a frequent word's place, word any other word."""
+    shared = _share(train, (words, states))
+
+    def run(batches):
+        words, states = shared.value
+        index, count = _index(words, mark), len(words)
+        keys, numbers, held, rare = [], [], 0, Counter()
+
+        def sums():
+            i, n = _summed(keys, numbers) if keys else (np.zeros(0, np.int64),) * 2
+            w = pa.array([*(i // CLASSES).tolist(), *[None] * len(rare)], pa.int64())
+            word = pa.array([*[None] * len(i), *(x for x, _ in rare)], pa.binary())
+            j, n = [*(i % CLASSES).tolist(), *(x for _, x in rare)], [*n.tolist(), *rare.values()]
+            return pa.RecordBatch.from_arrays([w, word, pa.array(j, pa.int32()), pa.array(n, pa.int64())], ["w", "word", "j", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                tokens = _tokens(text)
+                at = np.array([0, *(index.get(w, count) for w in tokens)], np.int64)
+                j, known = states[at[:-1]], at[1:] < count
+                keys.append(at[1:][known] * CLASSES + j[known])
+                numbers.append(np.ones(len(keys[-1]), np.int64))
+                held += len(keys[-1])
+                rare.update((tokens[i], int(j[i])) for i in np.flatnonzero(~known))
+            if held > PAIRS_HELD:
+                i, n = _summed(keys, numbers)
+                keys, numbers, held = [i], [n], len(i)
+            if held > PAIRS_HELD // 2 or len(rare) > FLUSH:
+                yield sums()
+                keys, numbers, held = [], [], 0
+                rare.clear()
+        if keys or rare:
+            yield sums()
+
+    rows = train.select("t").mapInArrow(trimmed(run), "w bigint, word binary, j int, n bigint")
+    return rows.groupBy("w", "word").agg(F.collect_list("j").alias("js"), F.collect_list("n").alias("ns"))
+
+
+def features(vectors: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The states' vectors and a constant, turned and scaled so that over n they are uncorrelated and of unit size; rows of
+    states that are seldom seen are shortened to LENGTH."""
+    share = n / max(n.sum(), 1)
+    x = np.hstack([vectors - share @ vectors, np.ones((len(vectors), 1))])
+    size, turn = np.linalg.eigh((x * share[:, None]).T @ x)
+    some = size > 1e-6 * size.max()
+    phi = x @ turn[:, some] / np.sqrt(size[some])
+    return (phi * np.minimum(1, LENGTH / np.maximum(np.linalg.norm(phi, axis=1, keepdims=True), 1e-9))).astype(np.float32)
+
+
+def fit_words(phi: np.ndarray, n: np.ndarray, row: np.ndarray, j: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A vector for each word, from how often it follows which state: noise-contrastive, each word on its own.
+
+    The states' features phi stay. The noise is the word's own share of the corpus after every state: all of them for
+    words that are seen often, sampled ones for others, the same whichever words share the batch.
+    """
+    rng, share = np.random.default_rng(SEED), (n / max(n.sum(), 1)).astype(np.float32)
+    count = np.bincount(row, times).astype(np.float32)
+    out = np.zeros((len(count), phi.shape[1]), np.float32)
+    kind, level = np.digitize(count, (SOME, OFTEN)), np.float32(np.log(NOISE))
+    for k, steps in enumerate(STEPS_BY_KIND):
+        pick = np.flatnonzero(kind == k)
+        if not len(pick):
+            continue
+        place = np.full(len(count), -1)
+        place[pick] = np.arange(len(pick))
+        mine = place[row] >= 0
+        at, x, t = place[row[mine]], phi[j[mine]], times[mine].astype(np.float32)
+        first, c = np.searchsorted(at, np.arange(len(pick))), count[pick][:, None]
+        # from nothing, true pairs pull and all the noise pushes alike
+        r = (np.add.reduceat(t[:, None] * x, first) - c * (share @ phi)) * np.float32(NOISE / (1 + NOISE)) / (c + RIDGE)
+        for _ in range(steps):
+            other = np.arange(len(phi)) if k == 2 else rng.choice(len(phi), SAMPLED, p=share / share.sum(dtype=np.float64))
+            weight = share if k == 2 else np.full(SAMPLED, 1 / SAMPLED, np.float32)
+            noise = np.float32(NOISE) * c * (weight / (1 + np.exp(np.minimum(level - r @ phi[other].T, 60))))
+            true = t / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", r[at], x) - level, 60)))
+            g = np.add.reduceat(true[:, None] * x, first) - noise @ phi[other] - RIDGE * r
+            r += g / (2 * c + RIDGE)
+        out[pick] = np.clip(r, -30, 30)
+    return out.astype(np.float16)
+
+
+def fit_targets(targets: DataFrame, phi: np.ndarray, n: np.ndarray) -> DataFrame:
+    """(w, word, c, r, z): the words' counts and vectors; a row without any word adds up a batch's exp(score) by state."""
+    shared = _share(targets, (phi, n))
+
+    def run(batches):
+        phi, n = shared.value
+        z = np.zeros(len(phi))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            js, ns = batch.column(2), batch.column(3)
+            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in js])
+            key, times = _summed([row * CLASSES + js.flatten().to_numpy()], [ns.flatten().to_numpy()])
+            row, j = key // CLASSES, key % CLASSES
+            r = fit_words(phi, n, row, j, times)
+            c = np.bincount(row, times).astype(np.int64)
+            z += ((c + SMOOTH)[:, None] * np.exp(r.astype(np.float32) @ phi.T)).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c), pa.array([x.tobytes() for x in r], pa.binary()), pa.array([None] * len(c), pa.binary())], ["w", "word", "c", "r", "z"])
+        none = pa.array([None], pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array([None], pa.binary()), none, pa.array([None], pa.binary()), pa.array([z.tobytes()], pa.binary())], ["w", "word", "c", "r", "z"])
+
+    return targets.mapInArrow(trimmed(run), "w bigint, word binary, c bigint, r binary, z binary")
 
 
 def learn(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of train(t), whose word counts are given, and the counts of the words that aren't frequent."""
+    """The model of train(t), whose word counts are given, and (word, c, r) of the words that aren't frequent."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     level = F.floor(F.log2("c") * 8)
     least, n = None, 0
@@ -136,61 +314,84 @@ def learn(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
         if n > MAX_FREQUENT:
             break
         least = r.level
-    frequent = level >= (least if least is not None else 1 << 30)
-    top = counts.filter(F.col("word") != END_WORD).orderBy(F.desc("c"), "word").limit(CLASSES - 2).collect()
-    classes = {END_WORD: END} | {bytes(r.word): i + 2 for i, r in enumerate(top)}
-    got = counts.filter(frequent).collect()  # MAX_FREQUENT rows at most
-    pairs = count_pairs(train, classes)
-    known = sum(r.c for r in top) + int(pairs[:, END].sum())
-    model = Model([bytes(r.word) for r in got], np.array([r.c for r in got], np.int64), classes, train_table(pairs), total, distinct, total - known, distinct - len(top) - (1 if total else 0), uuid.uuid4().hex)
-    return model, counts.filter(~frequent)
-
-
-_LOADED: dict[str, dict[bytes, int]] = {}
+    frequent = (level >= (least if least is not None else 1 << 30)) | (F.col("word") == END_WORD)
+    got = counts.filter(frequent).toArrow()  # MAX_FREQUENT rows and the end at most
+    pairs_of = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist()))
+    words = [END_WORD, *sorted(pairs_of.keys() - {END_WORD}, key=lambda w: (-pairs_of[w], w))]
+    of_word = np.array([pairs_of.get(w, 0) for w in words], np.int64)
+    del got, pairs_of
+    anchors, mark = min(CLASSES - 2, len(words) - 1), uuid.uuid4().hex
+
+    contexts = stored(count_contexts(train, words, anchors, mark), "lm-contexts")
+    u = F.when(F.col("u") == 0, END).when(F.col("u") <= anchors, F.col("u") + 1).otherwise(OTHER)
+    pairs = np.zeros((CLASSES, 2 * CLASSES))
+    for r in contexts.groupBy(u.alias("u"), "k").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes at most
+        pairs[r.u, r.k] = r.n
+    vectors, table = train_vectors(pairs)
+    states = np.append(_class_of(np.arange(len(words)), anchors), OTHER)
+    got = assign_states(contexts.filter(F.col("u") < len(words)), table, anchors).toArrow()
+    states[got.column("u").to_numpy()] = got.column("s").to_numpy()
+    n = np.bincount(states, np.append(of_word, total - of_word.sum()), CLASSES)
+
+    phi = features(vectors, n)
+    fitted = stored(fit_targets(count_targets(train, words, states, mark), phi, n), "lm-fitted")
+    z = sum((np.frombuffer(r.z) for r in fitted.filter("z is not null").select("z").collect()), np.full(CLASSES, SMOOTH))  # 4 KB a task; one more share for all unseen words
+    own = fitted.filter("w is not null").select("w", "r").toArrow()
+    vectors = np.zeros((len(words), phi.shape[1]), np.float16)
+    if own.num_rows:
+        vectors[own.column("w").to_numpy()] = np.frombuffer(b"".join(own.column("r").to_pylist()), np.float16).reshape(-1, phi.shape[1])
+    return Model(words, of_word, states, vectors, phi, np.log10(z), total, distinct, mark), fitted.filter("word is not null").select("word", "c", "r")
 
 
 def _score(df: DataFrame, model: Model) -> DataFrame:
-    """(k, h, n, known, base, score, others, rare, rare_class): sums over frequent words; rare words with their numbers."""
-    spark = df.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    """(k, h, n, known, base, score, rare): sums over frequent words; rare words with the state before them and their numbers."""
+    shared = _share(df, model)
     kind = df.schema["k"].dataType.simpleString()
 
     def run(batches):
         m = shared.value
-        if m.mark not in _LOADED:
-            _LOADED.clear()
-            _LOADED[m.mark] = {w: i for i, w in enumerate(m.words)}
-        index = _LOADED[m.mark]
+        index = _index(m.words, m.mark)
         logs, count = np.log10(m.counts + SMOOTH), len(m.words)
-        of = np.full(count + 1, OTHER)
-        for w, c in m.classes.items():
-            if w in index:
-                of[index[w]] = c
-        loose = {w: c for w, c in m.classes.items() if w not in index}
         for batch in batches:
             rows = []
             for text in batch.column(2).to_pylist():
                 words = _tokens(text)
-                at = np.fromiter([index.get(w, count) for w in words], np.int64, len(words))
-                c = of[at]
-                missing = np.flatnonzero(at == count)
-                rare = Counter(words[i] for i in missing)
-                if loose:
-                    for i in missing:
-                        c[i] = loose.get(words[i], OTHER)
+                at = np.array([0, *(index.get(w, count) for w in words)], np.int64)
+                s, at = m.states[at[:-1]], at[1:]
                 found = at < count
-                own = logs[at[found]]
-                score = m.table[np.append(END, c[:-1]), c].sum() + own[c[found] == OTHER].sum()
-                rows.append((len(words), int(found.sum()), own.sum(), score, int((c == OTHER).sum()), list(rare), list(rare.values()), [w in loose for w in rare]))
-            columns = list(zip(*rows)) or [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(columns, kinds))], ["k", "h", "n", "known", "base", "score", "others", "rare", "times", "classed"])
+                rare = Counter((words[i], int(s[i])) for i in np.flatnonzero(~found))
+                own, score = logs[at[found]].sum(), -m.scale[s].sum()
+                at, s = at[found], s[found]
+                for i in range(0, len(at), PART):
+                    score += np.einsum("ij,ij->i", m.vectors[at[i : i + PART]].astype(np.float32), m.phi[s[i : i + PART]]).sum(dtype=np.float64) / np.log(10)
+                rows.append((len(words), len(at), own, score + own, [w for w, _ in rare], [x for _, x in rare], list(rare.values())))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(columns, kinds))], ["k", "h", "n", "known", "base", "score", "rare", "state", "times"])
+
+    return df.select("k", "h", "t").mapInArrow(trimmed(run), f"k {kind}, h bigint, n bigint, known bigint, base double, score double, rare array<binary>, state array<int>, times array<bigint>")
+
+
+def _dots(rows: DataFrame, phi: np.ndarray) -> DataFrame:
+    """rows(k2, h2, state, times, c, r) with x, the log10 ratio that the word's vector r gives after the state."""
+    shared = _share(rows, phi)
+
+    def run(batches):
+        phi = shared.value
+        for batch in batches:
+            r = np.zeros((batch.num_rows, phi.shape[1]), np.float32)
+            raw = batch.column("r").to_pylist()
+            some = np.array([x is not None for x in raw], bool)
+            if some.any():
+                r[some] = np.frombuffer(b"".join(x for x in raw if x is not None), np.float16).reshape(-1, phi.shape[1])
+            x = np.einsum("ij,ij->i", r, phi[batch.column("state").to_numpy()]).astype(np.float64) / np.log(10)
+            yield batch.drop_columns(["r"]).append_column("x", pa.array(x))
 
-    return df.select("k", "h", "t").mapInArrow(trimmed(run), f"k {kind}, h bigint, n bigint, known bigint, base double, score double, others bigint, rare array<binary>, times array<bigint>, classed array<boolean>")
+    kept = [f for f in rows.schema.fields if f.name != "r"]
+    return rows.mapInArrow(trimmed(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", x double")
 
 
-def score_texts(df: DataFrame, model: Model, rare_counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, model: Model, rare_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns key, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every whole text.
 
     A null or empty text is the end alone. Repeated rows each give a row; other columns are dropped; an empty table
@@ -198,17 +399,17 @@ def score_texts(df: DataFrame, model: Model, rare_counts: DataFrame, key: str =
     """
     rows = df.select(F.col(key).alias("k"), utf8_of(text).alias("t")).withColumn("h", F.xxhash64("t"))
     scored = stored(_score(rows, model), "lm-scored")
-    rare = scored.filter(F.size("rare") > 0).dropDuplicates(["k", "h"]).select("k", "h", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"), F.col("classed").alias("classed"))))
+    rare = scored.filter(F.size("rare") > 0).dropDuplicates(["k", "h"]).select(F.col("k").alias("k2"), F.col("h").alias("h2"), F.inline(F.arrays_zip(F.col("rare").alias("word"), "state", "times")))
     c = F.coalesce(F.col("c"), F.lit(0))
-    part = F.round(F.log10(c + SMOOTH) * UNIT).cast("long") * F.col("times")
-    joined = rare.join(rare_counts, "word", "left").groupBy(F.col("k").alias("k2"), F.col("h").alias("h2")).agg(
-        F.sum(part).alias("log"), F.sum(F.when(F.col("classed"), 0).otherwise(part)).alias("own"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"),
+    base = F.round(F.log10(c + SMOOTH) * UNIT).cast("long") * F.col("times")
+    joined = _dots(rare.join(rare_words, "word", "left").select("k2", "h2", "state", "times", "c", "r"), model.phi).groupBy("k2", "h2").agg(
+        F.sum(base).alias("log"), F.sum(F.round(F.col("x") * UNIT).cast("long") * F.col("times")).alias("own"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"),
     )
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     both = scored.join(joined, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")), "left")
     return both.select(
         F.col("k").alias(key), F.col("n").alias("n_tokens"), (F.col("known") + zero("more")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("log") / UNIT - F.col("n") * model.base_scale).alias("base_score"), (F.col("score") + zero("own") / UNIT - F.col("others") * model.other_scale).alias("score"),
+        (F.col("base") + zero("log") / UNIT - F.col("n") * model.base_scale).alias("base_score"), (F.col("score") + (zero("log") + zero("own")) / UNIT).alias("score"),
     )
 
 

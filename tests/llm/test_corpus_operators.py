@@ -349,6 +349,29 @@ def test_model_table_is_normalised():
     assert np.allclose((10**table).sum(axis=1), 1) and table[2].argmax() == 3 and table[3].argmax() == 2
 
 
+@pytest.mark.parametrize("frequent", [lm.MAX_FREQUENT, 700])
+def test_words_beyond_the_states_follow_their_context(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "MAX_FREQUENT", frequent)
+    rng = random.Random(4)
+    pairs = [(f"c{i}", f"w{i}x{k}") for i in range(40) for k in range(30) for _ in range(20)]
+    rng.shuffle(pairs)
+    train = spark.createDataFrame([(" ".join(f"{a} {b}" for a, b in pairs[i : i + 50]).encode(),) for i in range(0, len(pairs), 50)], "t binary")
+    model, rare = lm.learn(train, lm.count_words(train))
+    texts = [(2 * i + x, " ".join(f"c{(i + 7 * x) % 40} w{i}x{k}" for k in range(30))) for i in range(40) for x in (0, 1)]
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), model, rare).collect()}
+    assert min(got[2 * i] - got[2 * i + 1] for i in range(30, 40)) > 30 * 0.1  # words too many to be states
+    # over all words of the corpus and the unseen one, each state's probabilities add up to 1
+    words = [(i, w.decode()) for i, w in enumerate([w for w, in lm.count_words(train).select("word").collect() if w != lm.END_WORD] + [b"never"])]
+    after = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame([(i, f"c3 {w}") for i, w in words], "doc_id long, text string"), model, rare).collect()}
+    ends = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame([(i, w) for i, w in [*words, (-1, "c3"), (-2, "")]], "doc_id long, text string"), model, rare).collect()}
+    # the end's share comes off where each word's own end is scored: P(c3 w END) = P(c3) P(w | c3) P(END | w)
+    state = dict(zip(model.words, model.states))
+    log = lambda j, w: np.log10(model.counts[model.words.index(w)] + lm.SMOOTH) + model.vectors[model.words.index(w)].astype(float) @ model.phi[j] / np.log(10) - model.scale[j]
+    c3, end = log(0, b"c3"), lambda w: log(state.get(w, model.states[-1]), lm.END_WORD)
+    total = sum(10 ** (after[i] - c3 - end(w.encode())) for i, w in words) + 10 ** log(state[b"c3"], lm.END_WORD)
+    assert total == pytest.approx(1, abs=1e-3) and ends[-1] == pytest.approx(c3 + end(b"c3"), abs=1e-4)
+
+
 # --- op 9
 
 
