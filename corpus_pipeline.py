@@ -1,7 +1,7 @@
 """The corpus pipeline: language, near copies, benchmark passages, mixing, shards.
 
-Each stage works on all rows that the one before it kept; all but the last return the columns of documents. Null and
-empty texts have no language and go in the first stage; repeated rows with equal id and text share their fate in the second and third.
+Each stage works on all rows that the one before it kept; all but the last return the columns of documents. Texts
+without letters, null and empty ones among them, have no language and go in the first stage, whether or not there are labels to learn from; repeated rows with equal id and text share their fate in the second and third.
 An empty table stays empty.
 """
 
@@ -19,8 +19,13 @@ from estatelens.llm.sharding import external_shuffle
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language is found; learns from two thirds of the labelled rows."""
+    """Keeps documents in which a language is found; learns from two thirds of the labelled rows.
+
+    Where no language could be learned, all documents with letters stay.
+    """
     profiles = learn_profiles(docs.filter(id_residue(3) != 1))
+    if not profiles.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return with_language(docs, profiles, out="__language").filter(F.col("__language") != UNKNOWN).select(*docs.columns)
 
 

@@ -29,3 +29,10 @@ def test_stages(spark):
     sizes = Counter(r.shard for r in kept["shards"])
     assert max(sizes.values()) - min(sizes.values()) <= 1
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in kept["shards"])
+
+
+def test_documents_without_labels_stay(spark):
+    rows = [(1, "a clean text", None, "s", 12), (2, "ещё один текст", None, "s", 14), (3, "12 34 !", None, "s", 7), (4, "", None, "s", 0), (5, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
