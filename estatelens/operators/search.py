@@ -48,21 +48,23 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_names(names: DataFrame, wanted: DataFrame, least: float = 0.7, limit: int = 5) -> DataFrame:
     """(wanted, name, ratio): names like each wanted one by sequence matching, the best first; a short form goes where its full one is.
 
-    Pairs are drawn by a shared trigram of the last segment, as no built-in function has this ratio.
+    Each full name and each last segment is compared with the whole wanted name, but for pairs whose lengths alone rule the
+    ratio out.
     """
     from pyspark.sql import Window
 
-    from ..functions.text import trigrams
     from ..plans.ship import ship
+    from ..plans.tables import bounded_broadcast
 
     ship(names.sparkSession)
 
-    last = lambda c: F.element_at(F.split(F.lower(c), r"\."), -1)
-    a = wanted.select(F.col("name").alias("wanted")).distinct().withColumn("g", F.explode(trigrams(last(F.col("wanted")))))
-    b = names.select("name").distinct().withColumn("g", F.explode(trigrams(last(F.col("name")))))
-    pairs = a.join(b, "g").groupBy("wanted", "name").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
-    scored = pairs.withColumn("ratio", F.round(_ratio(F.lower("wanted"), last(F.col("name"))), 3)).filter(F.col("ratio") >= least)
-    full = scored.filter(F.col("name").contains(".")).select("wanted", last(F.col("name")).alias("name")).distinct()
-    scored = scored.join(full, ["wanted", "name"], "left_anti")
+    last = F.element_at(F.split("name", r"\."), -1)
+    pool = names.select("name").union(names.select(last.alias("name"))).filter("name <> ''").distinct()
+    pairs = pool.crossJoin(bounded_broadcast(wanted.select(F.col("name").alias("wanted")).filter("wanted is not null").distinct()))
+    x, y = F.length(F.lower("wanted")), F.length(F.lower("name"))
+    able = pairs.filter(2 * F.least(x, y) >= (least - 0.001) * (x + y))  # the ratio is rounded
+    scored = able.withColumn("ratio", F.round(_ratio(F.lower("wanted"), F.lower("name")), 3)).filter(F.col("ratio") >= least)
     rank = F.row_number().over(Window.partitionBy("wanted").orderBy(F.desc("ratio"), "name"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).select("wanted", "name", "ratio")
+    best = scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    full = best.filter(F.col("name").contains(".")).select("wanted", last.alias("name")).distinct()
+    return best.join(full, ["wanted", "name"], "left_anti").select("wanted", "name", "ratio")

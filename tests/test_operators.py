@@ -272,3 +272,15 @@ def test_applied_plans(spark, tmp_path):
     assert plan.apply_plan(p, str(tmp_path)) == {"create": 1, "relocate": 1} and not (tmp_path / "d").exists()
     plan.apply_plan(p, str(tmp_path), dry_run=False)
     assert (tmp_path / "d/a.md").read_text() == "A" and (tmp_path / "d/b.md").read_text() == "B" and not (tmp_path / "old.md").exists()
+
+
+def test_similar_names_compares_full_and_short_forms(spark):
+    from estatelens.operators.search import similar_names
+
+    names = spark.createDataFrame([("App.Services.Order",), ("zbcxdexfgxhi",), ("App.Other",), (None,)], "name string")
+    wanted = spark.createDataFrame([("App.Services.Ordr",), ("bcdefghi",), ("Othr",)], "name string")
+    got = {tuple(r) for r in similar_names(names, wanted).collect()}
+    assert got == {("App.Services.Ordr", "App.Services.Order", 0.971), ("bcdefghi", "zbcxdexfgxhi", 0.8), ("Othr", "Other", 0.889)}
+    whole = spark.createDataFrame([("Order",)], "name string")
+    assert {tuple(r) for r in similar_names(names, whole, least=0.4).collect()} >= {("Order", "App.Services.Order", 0.435)}
+    assert "Order" not in {r.name for r in similar_names(names, whole, least=0.4).collect()}
