@@ -52,6 +52,16 @@ def has_segment(path: Column, segments: list[str]) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, segments)))
 
 
+def clean(path: Column) -> Column:
+    """A relative path without empty, . and .. segments, however many; .. that leads out of it stays."""
+
+    def step(a: Column, s: Column) -> Column:
+        up = (s == "..") & (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)) != "..")
+        return F.when((s == "") | (s == "."), a).when(F.coalesce(up, F.lit(False)), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def ancestors(path: Column) -> Column:
     """(dir, depth) of each folder above a file, the root as the empty one."""
     parts = F.split(path, "/")

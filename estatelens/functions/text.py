@@ -14,6 +14,14 @@ LANGUAGES = {
     "cs": "csharp", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "vue": "vue", "py": "python", "java": "java", "kt": "kotlin", "go": "go", "rs": "rust", "rb": "ruby", "php": "php",
     "sql": "sql", "html": "html", "css": "css", "scss": "css", "xml": "xml", "json": "json", "yaml": "yaml", "yml": "yaml", "sh": "shell", "ps1": "powershell", "md": "markdown", "sln": "solution", "csproj": "project",
 }
+#: Extensions of files that aren't text, and literals that name nothing.
+BINARY = (
+    "png", "jpg", "jpeg", "gif", "ico", "svg", "webp", "bmp", "tif", "tiff", "psd", "otf", "woff", "woff2", "ttf", "eot", "pdf", "zip", "gz", "tar", "7z", "dll", "jar", "class", "nupkg", "xlsx", "docx", "pptx", "exe", "so", "dylib", "pdb",
+    "snk", "mp4", "mp3", "wav", "bin", "dat", "db", "sqlite",
+)
+PLAIN_WORDS = (
+    "true", "false", "null", "none", "utf-8", "utf8", "application/json", "text/plain", "text/html", "content-type", "authorization", "accept", "get", "post", "put", "delete", "patch", "http", "https", "localhost", "0.0.0.0", "127.0.0.1",
+)
 FAMILIES = {"typescript": "web", "javascript": "web", "vue": "web", "html": "web", "css": "web", "csharp": "dotnet", "project": "dotnet", "solution": "dotnet", "java": "jvm", "kotlin": "jvm"}
 
 
@@ -81,20 +89,29 @@ def similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
-def strip_generics(x: Column, depth: int = 6) -> Column:
-    """Without balanced <...> groups, up to a nesting depth, and without global::."""
-    out = F.regexp_replace(x, "^global::", "")
-    for _ in range(depth):
-        out = F.regexp_replace(out, "<[^<>]*>", "")
-    return out
+def _outside(x: Column, opening: str, closing: str) -> Column:
+    """The characters of x that no bracket encloses, brackets left out, however deep they nest."""
+
+    def step(a: Column, c: Column) -> Column:
+        opens, closes = F.instr(F.lit(opening), c) > 0, F.instr(F.lit(closing), c) > 0
+        depth = F.when(opens, a["depth"] + 1).when(closes & (a["depth"] > 0), a["depth"] - 1).otherwise(a["depth"])
+        kept = ~opens & ~closes & (a["depth"] == 0)
+        return F.struct(depth.alias("depth"), F.when(kept, F.concat(a["out"], c)).otherwise(a["out"]).alias("out"))
+
+    chars = F.filter(F.split(x, ""), lambda c: c != "")
+    return F.aggregate(chars, F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step)["out"]
+
+
+def strip_generics(x: Column) -> Column:
+    """Without balanced <...> groups, however deep, and without global::."""
+    plain = F.regexp_replace(x, "^global::", "")
+    return F.when(plain.contains("<"), _outside(plain, "<", ">")).otherwise(plain)
 
 
-def generic_arity(x: Column, depth: int = 6) -> Column:
+def generic_arity(x: Column) -> Column:
     """The number of type arguments in the last top-level group; 0 without one."""
     inner = F.regexp_extract(F.trim(x), "^[^<]*<(.*)>[^>]*$", 1)
-    for _ in range(depth):
-        inner = F.regexp_replace(inner, r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]", "")
-    return F.when(F.trim(x).rlike("<.*>"), F.size(F.split(inner, ","))).otherwise(0)
+    return F.when(F.trim(x).rlike("<.*>"), F.size(F.split(_outside(inner, "<([", ">)]"), ","))).otherwise(0)
 
 
 def symbol_key(module: Column, fqn: Column, arity: Column) -> Column:
@@ -115,15 +132,16 @@ def base_type_candidates(x: Column) -> Column:
 
 
 def literal_is_noise(x: Column) -> Column:
-    """Whether a literal is too plain to be a name that two sides share."""
-    version, structured = x.rlike(r"^v?[0-9]+(\.[0-9]+)*$"), x.rlike(r"[/.\-_:]")
-    extension = F.lower(F.regexp_extract(x, r"\.([A-Za-z0-9]+)$", 1))
-    return version | (~structured & (F.length(x) < 12) & (x != F.upper(x))) | extension.isin(*LANGUAGES)
+    """Whether a literal is too plain to be a name that two sides share: a common word, a version, short without structure, or a file's name."""
+    version, structured = x.rlike(r"^[vV]?[0-9]+(\.[0-9]+)*([-+][\w.]+)?$"), x.rlike(r"[/.\-_:]")
+    upper = (x == F.upper(x)) & (x != F.lower(x))
+    extension = F.lower(F.regexp_extract(x, r"[^/]\.([A-Za-z0-9]+)$", 1))
+    return F.lower(x).isin(*PLAIN_WORDS) | version | (~structured & (F.length(x) < 12) & ~upper) | extension.isin(*LANGUAGES, *BINARY)
 
 
 def seam_kind(x: Column) -> Column:
     return (
-        F.when(x.contains("/"), "route").when(x.rlike("^[A-Z][A-Z0-9_]{2,}$"), "upper_name").when(x.rlike(r"^[A-Za-z_][\w]*(\.[A-Za-z_][\w]*)+$"), "dotted_name").when(x.rlike("^[a-z0-9]+(-[a-z0-9]+)+$"), "dashed_name").otherwise("identifier")
+        F.when(x.contains("/"), "route").when(x.rlike("^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$"), "upper_name").when(x.rlike(r"^[A-Za-z_]\w*(\.\w+)+$"), "dotted_name").when(x.rlike("^[a-z0-9]+([-.][a-z0-9]+)+$"), "dashed_name").otherwise("identifier")
     )
 
 

@@ -1,7 +1,8 @@
 """Reachability and rank over a property graph, as iterated DataFrame plans.
 
-Loops write their state to a table in the shared folder each round, so a lost executor costs a round at most and plans
-don't grow. Only counts come to the driver.
+Loops write their state to a table in the shared folder each round, so a lost executor costs a round at most. What was seen is
+brought into one table every COMPACT rounds, so that plans stay bounded; tables that nothing reads any longer are deleted. Only
+counts come to the driver.
 """
 
 from __future__ import annotations
@@ -9,12 +10,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import stored
+from ..plans.tables import discard, stored
 
 #: Edge kinds that reach crosses. Binding and inheritance aren't among them.
 CROSSED = ("calls", "dispatches", "crosses", "touches", "reads", "writes")
 SHARED_ABOVE = 50
 PATH_DEPTH = 12
+#: Rounds after which the tables of a loop are brought into one.
+COMPACT = 8
+
+
+class _Seen:
+    """A growing table: rounds are added, and brought into one table every COMPACT rounds."""
+
+    def __init__(self, first: DataFrame, name: str) -> None:
+        self.parts, self.name = [first], name
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > COMPACT:
+            whole = stored(self.rows(), self.name)
+            for p in self.parts[:-1]:  # the last is the next round's frontier
+                discard(p)
+            self.parts = [whole]
+
+    def rows(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.union(p)
+        return out
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,17 +58,18 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reach_pairs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, root, depth): each node a root reaches, itself at depth 0, with the least number of steps. Cycles end the walk."""
-    edges = edges.select("src", "dst").distinct()
+    edges = stored(edges.select("src", "dst").distinct(), "reach-edges")
     frontier = stored(roots.select(F.col("root").alias("node"), "root").distinct().withColumn("depth", F.lit(0)), "reach")
-    seen, depth = frontier, 0
+    seen, depth = _Seen(frontier, "reach"), 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), "root").distinct()
-        frontier = stored(step.join(seen, ["node", "root"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        frontier = stored(step.join(seen.rows(), ["node", "root"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
-    return seen
+        seen.add(frontier)
+    discard(edges)
+    return seen.rows()
 
 
 def fanout(pairs: DataFrame) -> DataFrame:
@@ -65,7 +90,7 @@ def affects(pairs: DataFrame, changed: DataFrame, threshold: int = SHARED_ABOVE)
 def shortest_path(edges: DataFrame, source, target, depth: int = PATH_DEPTH) -> DataFrame:
     """(step, node) of one shortest path; of several predecessors the smallest is kept. Empty if there is none within depth."""
     spark = edges.sparkSession
-    edges = edges.select("src", "dst").distinct()
+    edges = stored(edges.select("src", "dst").distinct(), "path-edges")
     kind = edges.schema["dst"].dataType.simpleString()
     seen = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("level"))
     frontier, found = seen, source == target
@@ -91,27 +116,44 @@ def shortest_path(edges: DataFrame, source, target, depth: int = PATH_DEPTH) ->
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of its strongly connected component, for each node of edges.
 
-    Rounds of colouring: the smallest node that reaches a node colours it; what reaches back to the colour's own node
-    within the colour is a component and leaves.
+    Nodes that no edge enters, or none leaves, are components of their own and are trimmed off, layer by layer from both ends. The rest goes through
+    rounds of colouring: the smallest node that reaches a node colours it; what reaches back to the colour's own node
+    within the colour is a component and leaves. Edges between colours then leave too, as no component crosses them.
     """
-    edges = stored(edges.select("src", "dst").distinct(), "scc-edges")
-    left = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "scc-nodes")
+    inner = stored(edges.select("src", "dst").distinct(), "scc-edges")
+    left = stored(inner.select(F.col("src").alias("node")).union(inner.select("dst")).distinct(), "scc-nodes")
+    inner = stored(inner.filter("src <> dst"), "scc-inner")
     done = None
     while not left.isEmpty():
-        inner = edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
-        inner = stored(inner, "scc-inner")
+        while True:  # trim
+            ends = inner.select(F.col("src").alias("node")).distinct().join(inner.select(F.col("dst").alias("node")).distinct(), "node")
+            kept = stored(left.join(ends, "node", "left_semi"), "scc-nodes")
+            single = stored(left.join(kept, "node", "left_anti").withColumn("component", F.col("node")), "scc-found")
+            if single.isEmpty():
+                break
+            done = single if done is None else done.union(single)
+            less = inner.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
+            less = stored(less.select("src", "dst"), "scc-inner")
+            discard(inner), discard(left)
+            inner, left = less, kept
+        if left.isEmpty():
+            break
         colour = left.withColumn("c", F.col("node"))
         while True:
             pushed = inner.join(colour, inner["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
             new = stored(colour.join(pushed, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")), "scc-colour")
-            colour = new.select("node", "c")
-            if new.filter("moved").isEmpty():
+            # a colour's own colour is smaller or equal, so the way to it is halved each round
+            own = new.select(F.col("node").alias("c"), F.col("c").alias("further"))
+            last, colour = colour, stored(new.join(own, "c").select("node", F.col("further").alias("c"), (F.col("moved") | (F.col("further") < F.col("c"))).alias("moved")), "scc-colour")
+            discard(new), discard(last)
+            if colour.filter("moved").isEmpty():
                 break
         same = inner.join(colour.select(F.col("node").alias("src"), F.col("c").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("c2")), "dst").filter("c1 = c2")
         back = reach_pairs(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.filter("node = c").select(F.col("node").alias("root")))
         found = stored(back.select("node", F.col("root").alias("component")), "scc-found")
         done = found if done is None else done.union(found)
         left = stored(left.join(found, "node", "left_anti"), "scc-nodes")
+        inner = stored(same.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "scc-inner")
     return done if done is not None else left.withColumn("component", F.col("node"))
 
 
@@ -132,7 +174,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         lost = rank.filter("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).scalar()
         given = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         new = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)
-        rank = stored(base.join(given, "node", "left").select("node", "degree", new.alias("rank")), "rank")
+        last, rank = rank, stored(base.join(given, "node", "left").select("node", "degree", new.alias("rank")), "rank")
+        discard(last)
     return rank.select("node", "rank")
 
 

@@ -42,17 +42,17 @@ def narrowest_interval(points: DataFrame, ranges: DataFrame, on: Sequence[str],
 
 
 def longest_prefix(items: DataFrame, text: str, prefixes: DataFrame, prefix: str, separator: str = "/") -> DataFrame:
-    """items with the longest of the prefixes that its text starts with by segment; null if none.
+    """items with the longest of the prefixes that its text starts with by segment; null if none. Repeated rows stay.
 
-    Each text is cut at its separators, so that the lookup is an equi-join.
+    Each distinct text is cut at its separators, so that the lookup is an equi-join; what was found is joined back to the rows.
     """
-    parts = F.split(F.col(text), separator)
+    texts = items.select(F.col(text).alias("__t")).filter("__t is not null").distinct()
+    parts = F.split("__t", separator)
     cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), separator).alias("p")))
-    keyed = items.withColumn("__cuts", cuts).select(F.struct(*items.columns).alias("__row"), F.explode("__cuts").alias("__c"))
-    small = bounded_broadcast(prefixes.select(F.col(prefix).alias("__p"), F.lit(True).alias("__hit")).distinct())
-    joined = keyed.join(small, F.col("__c.p") == F.col("__p"), "left")
-    best = joined.groupBy("__row").agg(F.max_by("__p", F.when(F.col("__hit"), F.col("__c.n"))).alias(prefix))
-    return best.select("__row.*", prefix)
+    small = bounded_broadcast(prefixes.select(F.col(prefix).alias("__p")).filter("__p is not null").distinct())
+    hits = texts.select("__t", F.inline(cuts)).join(small, F.col("p") == F.col("__p"))
+    best = hits.groupBy("__t").agg(F.max_by("__p", "n").alias(prefix))
+    return items.join(best, items[text] == best["__t"], "left").drop("__t")
 
 
 def nearest_ancestor(files: DataFrame, path: str, owners: DataFrame, directory: str, owner: str) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, search
 
 PAGE = 20
+#: Kinds of nodes that an answer lists; their number and the totals cover all.
+MOST_KINDS = 1000
 
 
 @dataclass
@@ -49,17 +51,20 @@ class Index:
         roots = graph.affects(self.pairs, chosen.select("node"), threshold)
         named = roots.join(self.nodes.select(F.col("key").alias("root"), "name", F.col("attributes")["entry_kind"].alias("kind")), "root", "left").orderBy("name", "root")
         rows, total = _page(named, limit)
-        shared = [r.asDict() for r in wide.collect()]
+        shared, n_shared = _page(wide, limit)
         why = "" if total else "composition root: a change here concerns all that is registered" if assembled else "only shared nodes" if shared else "none of the inputs is known" if len(unknown) == len(inputs.collect()) else "nothing reaches these nodes"
         chosen.unpersist()
-        return Answer(rows, total, {"unknown": [u for u in unknown if u not in assembled], "shared": shared, "composition_roots": assembled, "why_empty": why})
+        return Answer(rows, total, {"unknown": [u for u in unknown if u not in assembled], "shared": shared, "n_shared": n_shared, "composition_roots": assembled, "why_empty": why})
 
     def reaches(self, root: str, limit: int = PAGE) -> Answer:
         """What an entry point reaches, by kind, itself left out."""
         hit = self.pairs.filter((F.col("root") == root) & (F.col("node") != root)).join(self.nodes.select(F.col("key").alias("node"), "kind"), "node")
-        grouped = hit.groupBy("kind").agg(F.count(F.lit(1)).alias("total"), F.slice(F.array_sort(F.collect_list("node")), 1, limit).alias("nodes")).orderBy("kind")
-        rows, total = _page(grouped, 1000)
-        return Answer(rows, sum(r["total"] for r in rows), {"known": not self.nodes.filter(F.col("key") == root).isEmpty()})
+        totals = hit.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
+        first = hit.withColumn("__n", F.row_number().over(Window.partitionBy("kind").orderBy("node"))).filter(F.col("__n") <= limit)
+        shown = first.groupBy("kind").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+        rows, kinds = _page(totals.join(shown, "kind").orderBy("kind"), MOST_KINDS)
+        total = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first().n
+        return Answer(rows, total, {"known": not self.nodes.filter(F.col("key") == root).isEmpty(), "kinds": kinds})
 
     def card(self, key: str, threshold: int = graph.SHARED_ABOVE) -> Answer:
         """A node with its edges and how many roots reach it."""
@@ -85,5 +90,5 @@ class Index:
         return Answer(rows, total, {"exact": any(r["how"] == "exact" for r in rows)})
 
     def overview(self) -> Answer:
-        rows, total = _page(self.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy("kind"), 100)
+        rows, total = _page(self.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy("kind"), MOST_KINDS)
         return Answer(rows, total, {"edges": {r.kind: r["count"] for r in self.edges.groupBy("kind").count().collect()}})

@@ -35,8 +35,10 @@ def bus_factor(touches: DataFrame, area: list[str], author: str, least: int = 5,
 
 def shared_literals(literals: DataFrame, family: str, least_families: int = 2) -> DataFrame:
     """literal with its number of files and the families that know it, for those that several families know."""
-    grouped = literals.groupBy("literal").agg(F.count_distinct("file").alias("files"), F.array_sort(F.collect_set(family)).alias("families"))
-    return grouped.filter(F.size("families") >= least_families)
+    by_family = literals.groupBy("literal", family).agg(F.lit(1).alias("__one"))
+    wide = by_family.groupBy("literal").agg(F.array_sort(F.collect_list(family)).alias("families")).filter(F.size("families") >= least_families)
+    files = literals.join(wide.select("literal"), "literal", "left_semi").groupBy("literal").agg(F.count_distinct("file").alias("files"))
+    return wide.join(files, "literal").select("literal", "files", "families")
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -59,9 +59,12 @@ def freshness(nodes: DataFrame, documents: DataFrame, key: str = "id") -> DataFr
     """(key, status, agent_action) of nodes(kind, signature_hash, impl_hash) against documents.
 
     documents: empty_sections (int), accepted (boolean), accepted_kind, accepted_signature, accepted_impl, relocated
-    (boolean). The first that holds: missing, empty, stale, undeclared, relocated, drifted, current.
+    (boolean), and perhaps review_reason. The first that holds: missing, empty, stale, undeclared, relocated (or marked for
+    review), drifted, current. A null says no: what nobody accepted is undeclared.
     """
-    docs = documents.withColumn("__doc", F.lit(True))
+    docs = documents.withColumn("__doc", F.lit(True)).withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    marked = F.coalesce(F.col("review_reason") != "", F.lit(False)) if "review_reason" in documents.columns else F.lit(False)
+    docs = docs.withColumn("relocated", F.coalesce("relocated", F.lit(False)) | marked)
     j = nodes.join(docs, key, "left")
     other = lambda mine, theirs: F.coalesce((F.col(theirs) != "") & (F.col(theirs) != F.col(mine)), F.lit(False))
     status = (

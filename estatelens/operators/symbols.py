@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import signatures, text
+from ..plans.ship import ship
 from ..functions.routes import combine_templates, normalize_route
 from . import graph, links
 
@@ -124,11 +125,15 @@ def member_ranges(symbols: DataFrame) -> DataFrame:
 
 
 def symbol_graph(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Graph nodes of types and their members, and edges of inheritance by resolved name."""
+    """Graph nodes of types and their members, and edges of inheritance by resolved name.
+
+    A member's key has its name and a fingerprint of its kind and parameter types, so renaming a parameter keeps it.
+    """
+    ship(symbols.sparkSession)
     types = symbols.select(F.concat(F.lit("type:"), "key").alias("key"), F.lit("type").alias("kind"), "name", F.lit("").alias("owner"), F.get("sources", F.lit(0))["path"].alias("file"), F.lit("csharp").alias("lang"), F.lit("manifest").alias("source"), F.map_from_arrays(F.array(F.lit("fqn"), F.lit("module")), F.array("fqn", "module")).alias("attributes"))
-    fingerprint = F.substring(F.sha2(F.concat_ws("|", F.col("m.kind"), F.col("m.signature")), 256), 1, 8)
     m = symbols.select("key", "module", F.explode("members").alias("m"))
-    members = m.select(F.concat(F.lit("member:"), "key", F.lit("."), F.col("m.name"), F.lit("~"), fingerprint).alias("key"), F.lit("member").alias("kind"), F.col("m.name").alias("name"), F.concat(F.lit("type:"), "key").alias("owner"), F.col("m.path").alias("file"), F.lit("csharp").alias("lang"), F.lit("manifest").alias("source"), F.map_from_arrays(F.array(F.lit("kind"), F.lit("module")), F.array("m.kind", "module")).alias("attributes"))
+    m = m.withColumn("types", signatures.parameter_types(F.col("m.signature")))  # names and defaults of parameters aren't identity
+    members = m.select(F.concat(F.lit("member:"), "key", F.lit("."), F.col("m.name"), F.lit("~"), signatures.fingerprint(F.col("m.kind"), F.col("types"))).alias("key"), F.lit("member").alias("kind"), F.col("m.name").alias("name"), F.concat(F.lit("type:"), "key").alias("owner"), F.col("m.path").alias("file"), F.lit("csharp").alias("lang"), F.lit("manifest").alias("source"), F.map_from_arrays(F.array(F.lit("kind"), F.lit("module")), F.array("m.kind", "module")).alias("attributes"))
     bases = resolve_bases(symbols).join(symbols.select(F.col("fqn").alias("resolved"), F.col("key").alias("base_key")), "resolved")
     edges = bases.select(F.lit("inherits").alias("kind"), F.concat(F.lit("type:"), "key").alias("source"), F.concat(F.lit("type:"), "base_key").alias("target"), F.lit("base").alias("via"), F.lit(1.0).alias("confidence"))
     return types.unionByName(members).dropDuplicates(["key"]), edges.distinct()

@@ -8,42 +8,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import routes
+from ..functions.paths import clean
 from ..plans.tables import bounded_broadcast, stored
 from . import graph, links
 
 SUFFIXES = ("", ".ts", ".tsx", ".d.ts", "/index.ts")
 
 
-def _clean(path):
-    out = F.regexp_replace(path, r"(^|/)(\./)+", "$1")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return out
-
-
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     """(path, source, file): imports(path, source) to files by suffix ladder; relative ones first, else by the longest alias.
 
     aliases(prefix, target): `@x/` to a folder. An import that leads to no file is external: file is null.
     """
     relative = F.col("source").startswith(".")
-    here = _clean(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("source")))
+    here = clean(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("source")))
     best = links.longest_prefix(imports.select("path", "source").distinct(), "source", aliases.select(F.regexp_replace("prefix", "/$", "").alias("prefix")), "prefix")
     joined = best.join(aliases.select(F.regexp_replace("prefix", "/$", "").alias("prefix"), "target"), "prefix", "left")
-    base = F.when(relative, here).when(F.col("prefix").isNotNull(), _clean(F.concat(F.regexp_replace("target", "/$", ""), F.expr("substring(source, length(prefix) + 1)"))))
+    base = F.when(relative, here).when(F.col("prefix").isNotNull(), clean(F.concat(F.regexp_replace("target", "/$", ""), F.expr("substring(source, length(prefix) + 1)"))))
     tried = joined.withColumn("__b", base).withColumn("__c", F.array(*(F.struct(F.lit(i).alias("rank"), F.concat("__b", F.lit(s)).alias("name")) for i, s in enumerate(SUFFIXES))))
     found = links.ranked_resolution(tried, ["path", "source"], F.col("__c"), files.select(F.col("path").alias("file")), "file")
     return found.select("path", "source", F.col("resolved").alias("file"))
 
 
-def exported_names(names: DataFrame, re_exports: DataFrame, max_depth: int = 12) -> DataFrame:
-    """(file, name, declared_in): what each file exports, its own declarations first, then through re-exports by depth.
+def exported_names(names: DataFrame, re_exports: DataFrame) -> DataFrame:
+    """(file, name, declared_in): what each file exports, its own declarations first, then through re-exports by depth, however deep.
 
-    names(file, name): declarations. re_exports(file, target): files whose exports a file passes on.
+    names(file, name): declarations. re_exports(file, target): files whose exports a file passes on; circles end.
     """
+    re_exports = stored(re_exports.select("file", "target").distinct(), "re-exports")
     seen = stored(names.select("file", "name", F.col("file").alias("declared_in")).distinct(), "exports")
     frontier = seen
-    for _ in range(max_depth):
+    while True:
         step = re_exports.join(frontier.withColumnRenamed("file", "target"), "target").groupBy("file", "name").agg(F.min("declared_in").alias("declared_in"))
         frontier = stored(step.join(seen, ["file", "name"], "left_anti"), "exports")
         if frontier.isEmpty():
@@ -52,18 +47,19 @@ def exported_names(names: DataFrame, re_exports: DataFrame, max_depth: int = 12)
     return seen
 
 
-def expand_routes(rows: DataFrame, max_depth: int = 12) -> DataFrame:
+def expand_routes(rows: DataFrame) -> DataFrame:
     """(path, component, unresolved) of route tables. rows(table, path, component, spread): spread names another table.
 
-    Tables that none refers to are roots. Each table is expanded once, under the smallest path that reaches it; a reference to an
-    unknown table stays as an unresolved row.
+    Tables that none refers to are roots. Each table is expanded once, under the smallest path of the least depth that reaches it, however deep; a
+    reference to an unknown table stays as an unresolved row.
     """
+    rows = stored(rows.select("table", "path", "component", "spread"), "route-rows")
     tables = rows.select("table").distinct()
     inner = rows.filter("spread is not null").select(F.col("spread").alias("table")).distinct()
     frontier = stored(tables.join(inner, "table", "left_anti").withColumn("prefix", F.lit("")), "routes")
     seen = frontier
     joined = lambda a, b: F.concat_ws("/", F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
-    for _ in range(max_depth):
+    while True:
         step = rows.filter("spread is not null").join(frontier, "table").select(F.col("spread").alias("table"), joined(F.col("prefix"), F.col("path")).alias("prefix")).groupBy("table").agg(F.min("prefix").alias("prefix"))
         frontier = stored(step.join(tables, "table", "left_semi").join(seen.select("table"), "table", "left_anti"), "routes")
         if frontier.isEmpty():

@@ -13,18 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, _parse_datatype_string
 
+from ..functions.paths import clean
 from ..plans.ship import ship
 from .files import scan
 
 #: The word that begins a marker.
 MARKER = "managed"
 DOCUMENT_DDL = "front_matter string, segments array<struct<kind:string,name:string,body:string,text:string>>, error string"
-_LINES = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+
+
+def _lines(text: str) -> list[str]:
+    """The lines with their ends, which may be CR LF, CR or LF; other separators are part of a line."""
+    ends = [m.end() for m in re.finditer("\r\n?|\n", text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)]) if a < b]
 
 
 def parse_document(text: str, marker: str = MARKER) -> dict:
     mark = re.compile(rf"<!--\s*{re.escape(marker)}:(generated|section):(start|end)(?:\s+([a-z][a-z0-9_]*))?\s*-->\s*")
-    lines, at = _LINES.findall(text), 0
+    lines, at = _lines(text), 0
     if lines and lines[0].strip() == "---":
         at = next((i + 1 for i, x in enumerate(lines[1:], 1) if x.strip() == "---"), 0)
         if not at:
@@ -73,10 +79,7 @@ def broken_links(documents: DataFrame, files: DataFrame) -> DataFrame:
     """(path, target) of relative links in authored sections that lead to no file."""
     bodies = documents.select("path", F.explode("segments").alias("s")).filter("s.kind = 'section'")
     targets = bodies.select("path", F.explode(F.regexp_extract_all("s.body", F.lit(r"\]\(([^)#\s]+)[^)]*\)"), F.lit(1))).alias("target")).filter(~F.col("target").rlike("^[a-z]+:|^/"))
-    full = F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("target"))
-    for _ in range(6):
-        full = F.regexp_replace(full, r"(^|/)\./|[^/.][^/]*/\.\./", "$1")
-    return targets.withColumn("full", full).join(files.select(F.col("path").alias("full")), "full", "left_anti").select("path", "target").distinct()
+    return targets.withColumn("full", clean(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("target")))).join(files.select(F.col("path").alias("full")), "full", "left_anti").select("path", "target").distinct()
 
 
 def zone_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import posixpath
+import re
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
@@ -22,20 +22,31 @@ MOST_BYTES = 2 << 20
 BATCH_FILES = 256
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """root as the file system spells it, with its scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(path).toString().rstrip("/")
+
+
+def _plain(uri: str) -> str:
+    """A URI with one slash after its scheme, however many it is spelled with."""
+    return re.sub(r"^([a-zA-Z][\w+.-]*):/+", r"\1:/", uri)
+
+
 def discover(spark: SparkSession, root: str, excludes: Sequence[str] = (), scope: Sequence[str] = (), roots: Sequence[str] = ()) -> DataFrame:
     """(path, content, content_hash, length, lang, skipped) of the files under root, paths relative to it.
 
     A file in a skipped folder, excluded by a glob or outside the scope is left out; one that is too large or binary stays with the
     reason in `skipped` and no content. Files of no length hold no facts, and Spark's reader leaves them out.
     """
-    base = root.rstrip("/")
+    base = _qualified(spark, root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace("path", r"^(?:[a-z]+:)?/*", "/")
-    start = base.split("://", 1)[-1]
-    relative = F.substring(path, F.length(F.lit("/" + start.lstrip("/"))) + 2, F.lit(1 << 30)) if "://" not in base else F.regexp_replace("path", "^.*" + posixpath.basename(base) + "/", "")
+    relative = F.substring(F.regexp_replace("path", r"^([a-zA-Z][\w+.-]*):/+", "$1:/"), F.lit(len(_plain(base)) + 2), F.lit(1 << 30))
     rows = files.withColumn("rel", relative).filter(~has_segment(F.col("rel"), list(SKIPPED)) & in_scope(F.col("rel"), list(scope)) & in_scope(F.col("rel"), list(roots)))
     if excludes:
         rows = rows.filter(~matches_glob(F.col("rel"), list(excludes)))
+    rows = rows.withColumn("content", F.when(F.col("length") <= MOST_BYTES, F.col("content")))
     binary = F.instr(F.substring("content", 1, 8000).cast("string"), "\0") > 0
     why = F.when(F.col("length") > MOST_BYTES, "too_large").when(binary, "binary")
     rows = rows.withColumn("skipped", why)
@@ -51,21 +62,27 @@ def with_text(files: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, schema: StructType, scanner: Callable[[str, str], dict | Iterable[dict]]) -> DataFrame:
-    """Rows that scanner(path, text) gives for each file of files(path, text, content_hash); path and content_hash lead.
+    """Rows that scanner(path, text) gives for each file of files(path, text, content_hash); path and content_hash lead, scan_error ends.
 
-    A scanner returns one mapping or several. One that fails gives no rows but its file keeps no one else from being read.
+    A scanner returns one mapping or several. Where one fails, its file gives one row with the error in scan_error and nulls; all
+    other files are read.
     """
     out = StructType().add("path", "string").add("content_hash", "string")
     for f in schema:
         out.add(f)
-    arrow, names = to_arrow_schema(out), [f.name for f in schema]
+    out.add("scan_error", "string")
+    arrow, names = to_arrow_schema(out), [f.name for f in out if f.name not in ("path", "content_hash")]
 
     def run(batches):
         for batch in batches:
             rows = []
             for path, text, digest in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                made = scanner(path, text or "")
-                for r in [made] if isinstance(made, dict) else made:
+                try:
+                    made = scanner(path, text or "")
+                    found = [made] if isinstance(made, dict) else list(made)
+                except Exception as e:  # noqa: BLE001  whatever ails a scanner stays with its file
+                    found = [{"scan_error": f"{type(e).__name__}: {e}"}]
+                for r in found:
                     rows.append({"path": path, "content_hash": digest} | {n: r.get(n) for n in names})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 

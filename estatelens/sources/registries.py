@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from ..functions.paths import matches_glob
+from ..functions.paths import clean, matches_glob
 from .files import scan
 
 ITEM_DDL = "registry string, kind string, ref string, fields map<string,string>, parent_ref string, depth int, ordinal int, error string"
@@ -112,10 +112,9 @@ def projects(files: DataFrame) -> DataFrame:
     node = lambda name, attribute: F.expr(f"xpath(text, \"//*[local-name()='{name}']/{attribute}\")")
     frameworks = F.flatten(F.transform(F.concat(node("TargetFramework", "text()"), node("TargetFrameworks", "text()")), lambda t: F.split(t, ";")))
     folder = F.regexp_replace("path", "[^/]*$", "")
-    resolve = lambda p: F.concat(folder, F.replace(p, F.lit("\\"), F.lit("/")))
-    up = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"[^/]+/\.\./", ""), r"[^/]+/\.\./", ""), r"[^/]+/\.\./", "")
+    resolve = lambda p: clean(F.concat(folder, F.replace(p, F.lit("\\"), F.lit("/"))))
     rows = files.filter(F.lower("path").endswith(".csproj"))
-    return rows.select("path", F.filter(frameworks, lambda t: t != "").alias("target_frameworks"), F.transform(node("ProjectReference", "@Include"), lambda p: up(resolve(p))).alias("project_references"), F.array_sort(node("PackageReference", "@Include")).alias("package_references"))
+    return rows.select("path", F.filter(frameworks, lambda t: t != "").alias("target_frameworks"), F.transform(node("ProjectReference", "@Include"), resolve).alias("project_references"), F.array_sort(node("PackageReference", "@Include")).alias("package_references"))
 
 
 def solution_projects(files: DataFrame) -> DataFrame:

@@ -17,9 +17,8 @@ DYNAMIC = r"(?i)\b(?:EXEC|EXECUTE)\s*\(|\bsp_executesql\b"
 NOISE = ("select", "values", "set", "where", "as", "on", "inner", "left", "right", "full", "cross")
 
 
-def _is_temporary(name: Column) -> Column:
-    last = F.element_at(F.split(F.regexp_replace(name, r"^[\[\]\"`]+|[\[\]\"`]+$", ""), r"\."), -1)
-    return last.startswith("#") | last.startswith("@")
+#: A name whose last part, quotes aside, begins like a temporary table or a table variable.
+TEMPORARY = r"(?:^|\.)[\[\]\"`]*[#@][^.]*$"
 
 
 def sql_facts(text: Column) -> Column:
@@ -30,11 +29,11 @@ def sql_facts(text: Column) -> Column:
         return F.filter(F.regexp_extract_all(body, F.lit(rf"(?i)\b(?:{keywords})\s+{NAME}"), F.lit(1)), lambda n: ~F.lower(n).isin(*NOISE))
 
     def names(keywords: str) -> Column:
-        plain = F.transform(F.filter(found(keywords), lambda n: ~_is_temporary(n)), normalize_data_name)
+        plain = F.transform(F.filter(found(keywords), lambda n: ~n.rlike(TEMPORARY)), normalize_data_name)
         return F.array_sort(F.array_distinct(F.filter(plain, lambda n: n != "")))
 
     defined = F.arrays_zip(F.regexp_extract_all(body, F.lit(DEFINE + NAME), F.lit(2)).alias("name"), F.regexp_extract_all(body, F.lit(DEFINE + NAME), F.lit(1)).alias("kind"))
-    temporary = F.size(F.filter(F.concat(found(READ), found(WRITE)), _is_temporary))
+    temporary = F.size(F.filter(F.concat(found(READ), found(WRITE)), lambda n: n.rlike(TEMPORARY)))
     return F.struct(
         F.transform(defined, lambda x: F.struct(normalize_data_name(x["name"]).alias("name"), F.lower(x["kind"]).alias("kind"))).alias("defines"),
         names(READ).alias("reads"), names(WRITE).alias("writes"), names(CALL).alias("calls"), body.rlike(DYNAMIC).alias("dynamic"), temporary.alias("temporary"),

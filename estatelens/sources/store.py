@@ -23,30 +23,37 @@ def generation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_index(folder: str, nodes: DataFrame, edges: DataFrame, **tables: DataFrame) -> str:
-    """Writes the tables under a new name and then points to it; readers see the old index until then. Returns the name."""
+    """Writes the tables under a new name and then a new pointer to it; readers see the old index until that is complete. Returns the name.
+
+    A failure before that leaves the old pointer in force; of two writers at once, one fails as its pointer exists.
+    """
     spark, name = nodes.sparkSession, f"index-{uuid.uuid4().hex}"
     meta = generation(nodes, edges).withColumn("version", F.lit(VERSION)).withColumn("name", F.lit(name))
     for table, df in {"nodes": nodes, "edges": edges, **tables}.items():
         df.write.parquet(f"{folder}/{name}/{table}")
     meta.coalesce(1).write.parquet(f"{folder}/{name}/meta")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("append").parquet(f"{folder}/pointer-{name}")
-    _move(spark, f"{folder}/pointer-{name}", f"{folder}/pointer")
+    at = max(_pointers(spark, folder), default=0) + 1
+    spark.createDataFrame([(name,)], "name string").coalesce(1).write.parquet(f"{folder}/pointer={at}")
     return name
 
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(target), True)
-    fs.rename(path(source), path(target))
+def _pointers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the complete pointers: those that end with the mark of a finished write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    made = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))
+    return [int(n.split("=")[1]) for n in names if n.startswith("pointer=") and made(n)]
 
 
 def read_index(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A table of the current index. Another version is an error, not an empty answer."""
-    try:
-        name = spark.read.parquet(f"{folder}/pointer").first()["name"]
-    except Exception as e:
-        raise IndexError_(f"no index under {folder}") from e
+    numbers = _pointers(spark, folder)
+    if not numbers:
+        raise IndexError_(f"no index under {folder}")
+    name = spark.read.parquet(f"{folder}/pointer={max(numbers)}").first()["name"]
     meta = spark.read.parquet(f"{folder}/{name}/meta").first()
     if meta["version"] != VERSION:
         raise IndexError_(f"the index has version {meta['version']}; {VERSION} is due")

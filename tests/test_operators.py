@@ -284,3 +284,44 @@ def test_similar_names_compares_full_and_short_forms(spark):
     whole = spark.createDataFrame([("Order",)], "name string")
     assert {tuple(r) for r in similar_names(names, whole, least=0.4).collect()} >= {("Order", "App.Services.Order", 0.435)}
     assert "Order" not in {r.name for r in similar_names(names, whole, least=0.4).collect()}
+
+
+def test_chains_are_followed_to_their_end(spark):
+    names = spark.createDataFrame([("f30", "N")], "file string, name string")
+    chain = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(30)] + [("f5", "f0")], "file string, target string")
+    assert web.exported_names(names, chain).count() == 31
+    rows = [(f"t{i}", f"p{i}", None, f"t{i + 1}") for i in range(30)] + [("t30", "end", "C", None)]
+    got = web.expand_routes(spark.createDataFrame(rows, "table string, path string, component string, spread string")).collect()
+    assert [tuple(r) for r in got] == [("/".join([f"p{i}" for i in range(30)] + ["end"]), "C", False)]
+    deep = spark.createDataFrame([("d/" * 20 + "a.ts", "../" * 20 + "lib/x")], "path string, source string")
+    lib = spark.createDataFrame([("lib/x.ts",)], "path string")
+    assert web.resolve_imports(deep, lib, spark.createDataFrame([], "prefix string, target string")).first().file == "lib/x.ts"
+
+
+def test_long_chains_of_components(spark):
+    e = edges(spark, " ".join(f"n{i:02}>n{i + 1:02}" for i in range(25)) + " x1>x2 x2>x3 x3>x1 x3>n00")
+    got = {r.node: r.component for r in graph.strongly_connected(e).collect()}
+    assert got == {f"n{i:02}": f"n{i:02}" for i in range(26)} | {f"x{i}": "x1" for i in (1, 2, 3)}
+
+
+def test_streams_are_compacted(spark, tmp_path):
+    schema = "id int, version int, deleted boolean, v string"
+    for i in range(5):
+        spark.createDataFrame([(i % 2, i, False, f"v{i}")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        manifest.follow(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "mark"), compact=2).awaitTermination()
+        got = manifest.current(spark, str(tmp_path / "out"), spark.read.parquet(str(tmp_path / "in")).schema)
+        assert {r.id: r.version for r in got.collect()} == {k % 2: k for k in range(i + 1)}
+    left = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert left == ["base=1", "base=3", "batch=2", "batch=3", "batch=4"]
+
+
+def test_members_keep_their_keys_when_parameters_are_renamed(spark):
+    from estatelens.operators import symbols as sym
+    from estatelens.sources import csharp
+
+    def keys(parameters):
+        f = spark.createDataFrame([("a.cs", f"class C {{ void Go({parameters}) {{ }} }}", "h")], "path string, text string, content_hash string")
+        nodes, _ = sym.symbol_graph(sym.build_symbols(csharp.parse_files(f), f.select("path", F.lit("M").alias("module"))))
+        return [r.key for r in nodes.filter("kind = 'member'").collect()]
+
+    assert keys("int a, string b = null") == keys("int x, string other") != keys("long a, string b")

@@ -144,7 +144,7 @@ def test_workspace_and_code_facts(spark):
     assert [(r.module, r.root, r.source_root, r.tsconfig) for r in workspace.workspace_modules(f).collect()] == [("app", "w", "w/src", "w/tsconfig.app.json")]
     assert [(r.prefix, r.target) for r in workspace.import_aliases(f).collect()] == [("@s/", "w/src/s")]
     rows = workspace.python_registrations(f, call="reg").collect()
-    assert sorted((r.key, r.impl) for r in rows if r.error is None) == [("call", "g.h"), ("job", "mod.run"), ("two", "f")] and sum(r.error is not None for r in rows) == 1
+    assert sorted((r.key, r.impl) for r in rows if r.scan_error is None) == [("call", "g.h"), ("job", "mod.run"), ("two", "f")] and sum(r.scan_error is not None for r in rows) == 1
     assert [(r.group, r.id) for r in workspace.identifiers(f).filter("path = 'i.xml'").collect()] == [("b/@name", "one")]
     assert sorted(r.literal for r in workspace.literals(frame(spark, [("q.ts", "a('one/two'); b(\"xyz\"); c(`t-1`); d('no no'); e('ab')")])).collect()) == ["one/two", "t-1", "xyz"]
     s = spark.createDataFrame([('<JobSchedule Interval="60" />',), ("x",), (None,)], "s string")
@@ -216,3 +216,42 @@ def test_zone_changes(spark):
     assert sorted((r.name, r.change) for r in documents.zone_diff(a, b).collect()) == [("x", "changed"), ("y", "removed"), ("z", "added")]
     d = documents.unified_diff(spark.createDataFrame([("a\nb\n", "a\nc\n"), ("s", "s")], "before string, after string")).collect()
     assert "-b\n+c\n" in d[0]["diff"] and d[1]["diff"] == ""
+
+
+def test_a_failing_scanner_harms_its_own_file_alone(spark):
+    from pyspark.sql.types import StructType
+
+    def scanner(path, _):
+        if path == "b":
+            raise RuntimeError("no")
+        return {"n": path}
+
+    rows = files.scan(frame(spark, [("a", "x"), ("b", "x"), ("c", "x")]), StructType().add("n", "string"), scanner).collect()
+    assert sorted((r.path, r.n, r.scan_error) for r in rows) == [("a", "a", None), ("b", None, "RuntimeError: no"), ("c", "c", None)]
+
+
+def test_discover_by_uri(spark, tmp_path):
+    for name in ("src/b.cs", "src/a/src/b.cs"):
+        p = tmp_path / "dx" / "src" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("class A {}")
+    for root in (f"file://{tmp_path}/dx/src", f"{tmp_path}/dx/src/", f"file:{tmp_path}/dx/src"):
+        assert sorted(r.path for r in files.discover(spark, root).collect()) == ["src/a/src/b.cs", "src/b.cs"]
+
+
+def test_limits_of_a_file_are_counted(spark):
+    body = " ".join(f'"lit{i}"' for i in range(3100))
+    f = frame(spark, [("a.cs", body)])
+    cut = workspace.literals(f).select("cut").distinct().collect()
+    assert [r.cut for r in cut] == [100] and workspace.literals(f).count() == 3000 and workspace.literals(f, most=None).count() == 3100
+    x = frame(spark, [("a.xml", "<r>" + "".join(f"<i id='id{i}'/>" for i in range(5010)) + "</r>")])
+    assert workspace.identifiers(x).first().cut == 10 and workspace.identifiers(x, most=None).count() == 5010
+
+
+def test_index_survives_a_failed_write(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "type", "A", "", "f")], "key string, kind string, name string, owner string, file string")
+    edges = spark.createDataFrame([], "kind string, source string, target string, via string")
+    folder = str(tmp_path / "index")
+    store.write_index(folder, nodes, edges)
+    (tmp_path / "index" / "pointer=2").mkdir()  # begun, never finished
+    assert store.read_index(spark, folder, "nodes").count() == 1
