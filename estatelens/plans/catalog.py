@@ -434,11 +434,11 @@ def bounded_bfs(spark, d):
     return pairs.groupBy("node").agg(F.min("depth").alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT conv_id, turn, 1 AS n, CAST(role AS VARCHAR) AS chain FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, p.n + 1, p.chain || '>' || c.role FROM p JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.turn + 1 WHERE p.n < 12)
+@query("""WITH RECURSIVE p AS (SELECT conv_id, turn, 1 AS n, CAST(role AS VARCHAR) AS chain FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, p.n + 1, p.chain || '>' || c.role FROM p JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.turn + 1)
 SELECT conv_id, max(n) AS turns, arg_max(chain, n) AS chain FROM p GROUP BY 1""")
 def conv_chain(spark, d):
     c = table(spark, d, "conversations")
-    numbered = c.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).filter("at = turn and turn < 12")
+    numbered = c.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).filter("at = turn")
     return numbered.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">").alias("chain"))
 
 

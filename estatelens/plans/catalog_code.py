@@ -204,7 +204,7 @@ def graph_reach(spark, d):
     return pairs.filter("node <> root").groupBy(F.substring("root", 7, 1000).alias("root")).agg(F.count(F.lit(1)).alias("reached"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS x FROM documents) SELECT x, CASE WHEN contains(x, '/') THEN 'route' WHEN regexp_matches(x, '^[A-Z][A-Z0-9_]{2,}$') THEN 'upper_name' WHEN regexp_matches(x, '^[A-Za-z_]\w*(\.[A-Za-z_]\w*)+$') THEN 'dotted_name' WHEN regexp_matches(x, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN 'dashed_name' ELSE 'identifier' END AS kind FROM w""")
+@query(r"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS x FROM documents) SELECT x, CASE WHEN contains(x, '/') THEN 'route' WHEN regexp_matches(x, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$') THEN 'upper_name' WHEN regexp_matches(x, '^[A-Za-z_]\w*(\.\w+)+$') THEN 'dotted_name' WHEN regexp_matches(x, '^[a-z0-9]+([-.][a-z0-9]+)+$') THEN 'dashed_name' ELSE 'identifier' END AS kind FROM w""")
 def seam_kinds(spark, d):
     words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("x")).distinct()
     return words.select("x", text.seam_kind(F.col("x")).alias("kind"))

@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from estatelens.plans import catalog, catalog_code  # noqa: F401  the latter registers its queries in the former
+from estatelens.plans import catalog, catalog_code, catalog_more  # noqa: F401  the latter two register their queries in the first
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
