@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from ..plans.tables import bounded_broadcast, shared_folder, stored
+from ..plans.tables import bounded_broadcast, discard, shared_folder, stored
 
-__all__ = ["bounded_broadcast", "documents", "id_residue", "shared_folder", "small_batches", "stored", "text_of", "trimmed", "utf8_of"]
+__all__ = ["bounded_broadcast", "discard", "documents", "id_residue", "shared_folder", "small_batches", "stored", "text_of", "trimmed", "unused", "utf8_of"]
 
 #: Rows in one Arrow batch; texts are long, so the default of 10,000 rows could fill a worker's memory.
 BATCH_ROWS = 256
@@ -33,6 +33,16 @@ def id_residue(divisor: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"__{name}".lower() in taken:
+            name += "_"
+        out.append(f"__{name}")
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the rows of an Arrow batch, as whole texts travel in them, and sends this package to the workers."""
     ship(spark)

@@ -10,25 +10,29 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import id_residue, small_batches, text_of, trimmed
+from .common import id_residue, small_batches, text_of, trimmed, unused
 
 DIMENSIONS = 512
 SEED = 97
 #: Code points below have a vector of their own; letters beyond share HASHED vectors.
 OWN, HASHED = 0x250, 320
 ALPHABET = OWN + HASHED
-#: Trigrams up to which a longer training text counts for more; a text's counts are taken in units of 1 / SCALE.
-LONGEST, SCALE = 1000, 64
-#: Texts bundled at once.
-GROUP = 64
+#: Trigrams up to which a longer training text counts for more: the bundle of a longer one is scaled down to so many. Scaled
+#: bundles are added in units of 1 / SCALE.
+LONGEST, SCALE = 1000, 1 << 16
+#: Texts, and code points, bundled at once (a longer text goes alone); trigrams whose vectors are made at once.
+GROUP, GROUP_POINTS, KINDS = 64, 1 << 20, 1 << 13
+#: Labels of which prototypes are made at most; more are refused, as a vector for each comes to the driver.
+MAX_LABELS = 4096
 #: Sharpness of the score.
 SHARPNESS = 12.0
 UNKNOWN = "und"
@@ -73,6 +77,27 @@ def trigram_vectors(kinds: np.ndarray) -> np.ndarray:
     return first[kinds // ALPHABET**2] * second[kinds // ALPHABET % ALPHABET] * third[kinds % ALPHABET]
 
 
+def groups(texts: list[str]):
+    """Slices of texts that are bundled at once."""
+    first, points = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and (i - first >= GROUP or points + len(t) > GROUP_POINTS):
+            yield slice(first, i)
+            first, points = i, 0
+        points += len(t)
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+def bundles(kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The texts' vectors: whole numbers, exact as long as a text has less than 2**53 trigrams."""
+    kind = np.float32 if counts.sum(axis=1).max(initial=0) < 1 << 24 else np.float64
+    out = np.zeros((len(counts), DIMENSIONS), kind)
+    for i in range(0, len(kinds), KINDS):
+        out += counts[:, i : i + KINDS].astype(kind) @ trigram_vectors(kinds[i : i + KINDS]).astype(kind)
+    return out
+
+
 class Profiles:
     """Languages with their prototypes; scores texts."""
 
@@ -85,18 +110,18 @@ class Profiles:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         languages, scores = [], np.zeros(len(texts))
-        for at in range(0, len(texts), GROUP):
-            group = texts[at : at + GROUP]
+        for at in groups(texts):
+            group = texts[at]
             kinds, counts, n_letters = trigram_counts(group)
             if not self.languages or not len(kinds):
                 languages += [UNKNOWN] * len(group)
                 continue
-            bundles = counts.astype(np.float32) @ trigram_vectors(kinds).astype(np.float32)
-            norms = np.linalg.norm(bundles, axis=1)
-            cosines = (bundles @ self.own.T).astype(np.float64) / np.where(norms > 0, norms, 1.0)[:, None]
+            vectors = bundles(kinds, counts)
+            norms = np.linalg.norm(vectors, axis=1)
+            cosines = (vectors @ self.own.T).astype(np.float64) / np.where(norms > 0, norms, 1.0)[:, None]
             best, odds = cosines.argmax(axis=1), np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True)))
             known = n_letters > 0
-            scores[at : at + GROUP] = np.where(known, 1 / odds.sum(axis=1), 0.0)
+            scores[at] = np.where(known, 1 / odds.sum(axis=1), 0.0)
             languages += [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
         return languages, scores
 
@@ -104,31 +129,37 @@ class Profiles:
 def learn_profiles(labelled: DataFrame, text: str = "text", label: str = "lang") -> Profiles:
     """Prototypes of all rows with a label. Partial bundles are added on the executors; a vector for each label comes back.
 
-    Rows with a null label or without letters add nothing. The labels are taken to be few (a vector of DIMENSIONS
-    for each).
+    Every trigram of a text is bundled; the bundle of a text with more than LONGEST is then scaled down to so many. Rows with
+    a null label or without letters add nothing, repeated rows each count. More than MAX_LABELS labels raise ValueError.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("l"), text_of(text).alias("t"))
 
+    def batch_of(sums):
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["l", "v"])
+
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), GROUP):
-                kinds, counts, _ = trigram_counts(texts[at : at + GROUP])
-                names, which = np.unique(np.array(labels[at : at + GROUP], object), return_inverse=True)
-                by_label = np.zeros((len(names), len(kinds)), np.int64)
+            for at in groups(texts):
+                kinds, counts, _ = trigram_counts(texts[at])
                 length = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-                np.add.at(by_label, which, np.rint(counts * (SCALE * np.minimum(1.0, LONGEST / length))).astype(np.int64))
-                vectors = by_label.astype(np.float32) @ trigram_vectors(kinds).astype(np.float32)  # whole numbers below 2**24: exact
-                for name, v in zip(names, vectors):
-                    sums[name] = sums.get(name, 0) + np.rint(v).astype(np.int64)
+                scaled = np.rint(bundles(kinds, counts).astype(np.float64) * (SCALE * np.minimum(1.0, LONGEST / length))).astype(np.int64)
+                for name, v in zip(labels[at], scaled):
+                    sums[name] = sums.get(name, 0) + v
+            if len(sums) > MAX_LABELS:
+                yield batch_of(sums)
+                sums.clear()
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["l", "v"])
+            yield batch_of(sums)
 
     parts = rows.mapInArrow(trimmed(bundle), "l string, v array<bigint>").select("l", F.posexplode("v").alias("i", "x"))
     out: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("l", "i").agg(F.sum("x").alias("x")).collect():
+    summed = parts.groupBy("l", "i").agg(F.sum("x").alias("x")).limit(MAX_LABELS * DIMENSIONS + 1).collect()
+    if len(summed) > MAX_LABELS * DIMENSIONS:
+        raise ValueError(f"more than {MAX_LABELS} languages")
+    for r in summed:
         out.setdefault(r.l, np.zeros(DIMENSIONS))[r.i] = r.x
     return Profiles(out)
 
@@ -146,17 +177,34 @@ def identify(df: DataFrame, profiles: Profiles, key: str = "doc_id", text: str =
     return df.mapInArrow(trimmed(run), f"k {df.schema['k'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("k", key)
 
 
-def with_language(df: DataFrame, profiles: Profiles, text: str = "text", out: str = "lang_pred") -> DataFrame:
-    """df with the predicted language in a column that is added or replaced; all other columns stay."""
+def with_language(df: DataFrame, profiles: Profiles, text: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """df with the predicted language and its score (0 to 1) in two columns that are added or replaced; all others stay.
+
+    Null texts and texts without letters get UNKNOWN and 0.
+    """
     small_batches(df.sparkSession)
-    df = df.drop(out)
+    df = df.drop(out, score)
 
     def run(batches):
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
-            yield batch.append_column(out, pa.array(profiles.predict(texts)[0], pa.string()))
+            languages, scores = profiles.predict(["" if t is None else t for t in batch.column(text).to_pylist()])
+            yield batch.append_column(out, pa.array(languages, pa.string())).append_column(score, pa.array(scores))
+
+    return df.mapInArrow(trimmed(run), StructType([*df.schema.fields, StructField(out, StringType()), StructField(score, DoubleType())]))
+
 
-    return df.mapInArrow(trimmed(run), StructType([*df.schema.fields, StructField(out, StringType())]))
+def select_languages(df: DataFrame, profiles: Profiles, languages: Sequence[str] | None = None, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of df whose text is in one of languages (null: any of the profiles') with a score of least at least.
+
+    A score over 0.5 says that the language is likelier than all others together. Null texts and texts without letters go. Where
+    no language was learned and none is asked for, all texts with letters stay. Columns and repeated rows stay as they are.
+    """
+    if not profiles.languages and languages is None:
+        return df.filter(F.col(text).rlike(r"\p{L}"))
+    out, score = unused(df, "language", "score")
+    found = with_language(df, profiles, text, out, score)
+    wanted = F.col(out) != UNKNOWN if languages is None else F.col(out).isin(*languages)
+    return found.filter(wanted & (F.col(score) >= least)).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
