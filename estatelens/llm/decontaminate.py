@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, stored
+from .common import bounded_broadcast, stored, unused
 
 WINDOW = 13
 #: A document is contaminated from a hit share of 1 / SHARE of its words on.
 SHARE = 20
 #: Distinct windows up to which the set is broadcast (some 300 bytes each); beyond that the join shuffles.
 BROADCAST_WINDOWS = 500_000
-#: Documents with hits up to which they are broadcast with their hits' positions.
+#: Documents with hits up to which they are broadcast with their hits' positions, if these are few enough too.
 BROADCAST_DOCUMENTS = 200_000
 #: 64-bit words in the bitmap at most: 128 KB.
 MAX_BITMAP = 1 << 14
@@ -62,23 +62,6 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item: str = "i
     return sized.select("words", "items", "n", by_length.alias("hash"))
 
 
-#: Words of 64 bits in the bitmap: 128 KB.
-BITMAP_WORDS = 1 << 14
-
-
-def _bits(hash_: Column) -> tuple[Column, Column]:
-    """The bitmap's word that a hash belongs to, and its bit there."""
-    return F.pmod(F.shiftrightunsigned(hash_, 6), F.lit(BITMAP_WORDS)).cast("int"), F.shiftleft(F.lit(1).cast("long"), hash_.bitwiseAND(63).cast("int"))
-
-
-def bitmap_of(grams: DataFrame) -> Column:
-    """The bitmap of the windows' hashes as an array, a scalar subquery."""
-    word, _ = _bits(F.col("hash"))
-    words = grams.groupBy(word.alias("i")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("hash").bitwiseAND(63).cast("int"))).alias("v"))
-    placed = words.agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    return placed
-
-
 def _probes(hash_: Column, words: int) -> list[tuple[Column, Column]]:
     """Two places of a hash in a bitmap of so many 64-bit words: the word's index and the bit in it."""
     parts = (hash_, F.shiftrightunsigned(hash_, 32))
@@ -107,14 +90,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     likely = lambda x: [F.get(bitmap, i).bitwiseAND(b) != 0 for i, b in _probes(x, n_words)]
 
     def candidates(n: int) -> Column:
-        numbered = F.transform(window_hashes(F.col("w"), n), lambda h, i: F.when(likely(h)[0] & likely(h)[1], F.struct(i.alias("at"), h.alias("hash"))))
+        numbered = F.transform(window_hashes(F.col("w"), n), lambda h, i: F.when(likely(h)[0] & likely(h)[1], F.struct(i.alias("at"), h.alias("hash"), F.slice("w", i + 1, n).alias("words"))))
         return F.filter(numbered, lambda x: x.isNotNull())
 
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     words = own.select("k", F.xxhash64("t").alias("h"), words_of(F.col("t")).alias("w"))
-    scanned = words.select("k", "h", "w", F.inline_outer(F.concat(*map(candidates, lengths))))  # outer: else the optimizer adds a filter that computes it twice
-    small = bounded_broadcast(grams.withColumnRenamed("words", "gram"), BROADCAST_WINDOWS)
-    found = scanned.join(small, "hash").filter(F.slice("w", F.col("at") + 1, F.col("n")) == F.col("gram"))
+    scanned = words.select("k", "h", F.inline_outer(F.concat(*map(candidates, lengths))))  # outer: else the optimizer adds a filter that computes it twice
+    small = bounded_broadcast(grams.withColumnRenamed("words", "gram"), BROADCAST_WINDOWS, "gram", "items")
+    found = scanned.join(small, "hash").filter(F.col("words") == F.col("gram"))
     spans = found.groupBy("k", "h").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hits = spans.select(
         F.col("k").alias("k2"), F.col("h").alias("h2"), "items", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))).alias("hits")
@@ -155,16 +138,18 @@ def decontaminate(
     cut. Documents without a hit stay as they are.
     """
     found = contamination(docs, benchmark, window, key, text).filter(F.size("hits") > 0)
-    hit = found.select(F.col(key).alias("__k"), F.col("h").alias("__h"), F.col("hits").alias("__hits"), is_contaminated(share).alias("__bad")).dropDuplicates(["__k", "__h"])
-    hit = bounded_broadcast(stored(hit, "benchmark-hits"), BROADCAST_DOCUMENTS)
-    same = docs[key].eqNullSafe(hit["__k"]) & (F.xxhash64(docs[text]) == hit["__h"])
+    k, h, hits, bad, cut = unused(docs, "k", "h", "hits", "bad", "cut")
+    hit = found.select(F.col(key).alias(k), F.col("h").alias(h), F.col("hits").alias(hits), is_contaminated(share).alias(bad)).dropDuplicates([k, h])
+    hit = bounded_broadcast(stored(hit, "benchmark-hits"), BROADCAST_DOCUMENTS, hits)
+    same = docs[key].eqNullSafe(hit[k]) & (F.xxhash64(docs[text]) == hit[h])
     joined = docs.join(hit, same, "left")
     if documents:
-        joined = joined.filter(~F.coalesce("__bad", F.lit(False)))
+        joined = joined.filter(~F.coalesce(bad, F.lit(False)))
+    own = {c: F.col(f"`{c}`") for c in docs.columns}
     if not spans:
-        return joined.select(*(docs[c] for c in docs.columns))
-    joined = joined.withColumn("__cut", F.when(F.col("__hits").isNotNull(), _cut(docs[text], F.col("__hits"))))
-    changed = {text: F.coalesce("__cut", docs[text])}
+        return joined.select(*own.values())
+    joined = joined.withColumn(cut, F.when(F.col(hits).isNotNull(), _cut(F.col(text), F.col(hits))))
+    changed = {text: F.coalesce(cut, F.col(text))}
     if length in docs.columns:
-        changed[length] = F.when(F.col("__cut").isNotNull(), F.length("__cut").cast(docs.schema[length].dataType)).otherwise(docs[length])
-    return joined.select(*(changed.get(c, docs[c]).alias(c) for c in docs.columns))
+        changed[length] = F.when(F.col(cut).isNotNull(), F.length(cut).cast(docs.schema[length].dataType)).otherwise(own[length])
+    return joined.select(*(changed.get(c, own[c]).alias(c) for c in docs.columns))

@@ -2,8 +2,8 @@
 
 A stream holds a program association table, a program map table and one elementary stream. The payload travels in
 packetized elementary-stream units of ``unit_bytes`` with a presentation timestamp each; every ``gop``-th unit is a
-random-access point. Reading parses the tables, checks the continuity counters, reassembles the units and keeps the
-timestamps with the random-access points.
+random-access point and carries the program clock. Reading parses the tables, checks the continuity counters, leaves out repeated packets, reassembles
+the units and keeps the timestamps with the random-access points.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ class Stream:
     pid: int = 0
     stream_type: int = 0
     discontinuities: int = 0
+    duplicates: int = 0
+    pcr: list[int] = field(default_factory=list)
     pts: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
 
@@ -80,6 +82,11 @@ def _pts_bytes(pts: int) -> bytes:
     return bytes([0x21 | (pts >> 29) & 0x0E, (pts >> 22) & 0xFF, 0x01 | (pts >> 14) & 0xFE, (pts >> 7) & 0xFF, 0x01 | (pts << 1) & 0xFE])
 
 
+def _pcr_bytes(ticks: int) -> bytes:
+    """The program clock: 33 bits of 90 kHz, 6 reserved ones, 9 bits of 27 MHz that stay 0."""
+    return ((ticks & 0x1FFFFFFFF) << 15 | 0x3F << 9).to_bytes(6, "big")
+
+
 def write_stream(payload: bytes, unit_bytes: int = UNIT_BYTES, gop: int = GOP) -> bytes:
     """The payload as a transport stream. An empty payload gives the two tables alone."""
     out, cc = [_PAT, _PMT], 0
@@ -88,13 +95,14 @@ def write_stream(payload: bytes, unit_bytes: int = UNIT_BYTES, gop: int = GOP) -
         body = b"\0\0\1" + bytes([STREAM_ID]) + struct.pack(">H", len(chunk) + 8) + b"\x84\x80\x05" + _pts_bytes(n * UNIT_TICKS & 0x1FFFFFFFF) + chunk
         i, first = 0, True
         while i < len(body):
-            flags = 0x40 if first and n % gop == 0 else 0
-            room = BODY - 2 * bool(flags)
+            flags = 0x50 if first and n % gop == 0 else 0  # random access, program clock
+            clock = _pcr_bytes(n * UNIT_TICKS) if flags else b""
+            room = BODY - (2 + len(clock)) * bool(flags)
             part = body[i : i + room]
             lead = struct.pack(">BH", SYNC, (0x4000 if first else 0) | MEDIA_PID)
             if flags or len(part) < BODY:
                 length = BODY - 1 - len(part)
-                field_ = bytes([length]) + (bytes([flags]) + b"\xff" * (length - 1) if length else b"")
+                field_ = bytes([length]) + ((bytes([flags]) + clock).ljust(length, b"\xff") if length else b"")
                 out.append(lead + bytes([0x30 | cc]) + field_ + part)
             else:
                 out.append(lead + bytes([0x10 | cc]) + part)
@@ -116,7 +124,7 @@ def read_stream(data: bytes) -> Stream:
     """Parses a transport stream. Raises StreamError if it is cut, has lost sync or lacks its tables."""
     if len(data) % PACKET:
         raise StreamError("the length isn't a multiple of 188")
-    got, pmt_pid, cc, unit, parts = Stream(packets=len(data) // PACKET, pid=-1), -1, {}, None, []
+    got, pmt_pid, cc, last, unit, parts = Stream(packets=len(data) // PACKET, pid=-1), -1, {}, {}, None, []
 
     def close() -> None:
         if unit is None:
@@ -137,12 +145,17 @@ def read_stream(data: bytes) -> Stream:
         pid, start, random_access = word & 0x1FFF, at + 4, False
         if control & 0x20:
             random_access = data[start] > 0 and bool(data[start + 1] & 0x40)
+            if data[start] > 6 and data[start + 1] & 0x10:
+                got.pcr.append(int.from_bytes(data[start + 2 : start + 8], "big") >> 15)
             start += 1 + data[start]
         if not control & 0x10:
             continue
+        if pid in cc and control & 15 == cc[pid] & 15 and data[at + 4 : at + PACKET] == last[pid]:
+            got.duplicates += 1  # a packet may be sent twice in a row
+            continue
         if pid in cc and control & 15 != (cc[pid] + 1) & 15:
             got.discontinuities += 1
-        cc[pid] = control & 15
+        cc[pid], last[pid] = control & 15, data[at + 4 : at + PACKET]
         body = data[start : at + PACKET]
         if pid == PAT_PID:
             got.program, pmt_pid = struct.unpack(">HH", _read_section(body, 0x00)[:4])

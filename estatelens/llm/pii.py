@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 BLOCK = 256
 CONTEXT = 40
 #: Spans beyond the four base kinds stay from this score on.
@@ -105,14 +107,19 @@ def find_pii(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS,
 
 
 def redact(df: DataFrame, text: str = "text", out: str = "redacted") -> DataFrame:
-    """df with the text in which each found span reads <KIND>; of overlapping spans the first of the longest counts."""
-    found = find_pii(df, text, out="__pii")
+    """df with a column of the text in which each found span reads <KIND>; of overlapping spans the first of the longest counts.
+
+    A null text gives null. All other columns and repeated rows stay as they are; a column already named out is replaced.
+    """
+    pii, end = unused(df, "pii", "done")
+    found = find_pii(df, text, out=pii)
     order = lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["end"] != b["end"], F.when(a["end"] > b["end"], -1).otherwise(1)).otherwise(0)
     cell = lambda a, s: F.struct(
         F.concat(a["t"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("t"), s["end"].alias("at")
     )
-    done = F.aggregate(F.array_sort("__pii", order), F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")), lambda a, s: F.when(s["start"] >= a["at"], cell(a, s)).otherwise(a))
-    return found.withColumn("__done", done).withColumn(out, F.concat(F.col("__done.t"), F.substring(F.col(text), (F.col("__done.at") + 1).cast("int"), F.lit(2**31 - 1)))).drop("__pii", "__done")
+    done = F.aggregate(F.array_sort(pii, order), F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")), lambda a, s: F.when(s["start"] >= a["at"], cell(a, s)).otherwise(a))
+    rest = F.concat(F.col(f"{end}.t"), F.substring(F.col(text), (F.col(f"{end}.at") + 1).cast("int"), F.lit(2**31 - 1)))
+    return found.withColumn(end, done).withColumn(out, rest).drop(pii, end)
 
 
 def pii_digest(df: DataFrame) -> DataFrame:

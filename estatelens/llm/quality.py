@@ -125,12 +125,16 @@ def features(df: DataFrame, keep: str, text: str = "text") -> DataFrame:
     return df.mapInArrow(trimmed(run), f"k {df.schema['k'].dataType.simpleString()}, features array<double>").withColumnRenamed("k", keep)
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_LABELLED, key: str = "doc_id") -> Trees:
-    """Trees fitted to at most max_rows labelled documents; rows with a null id or a label other than 0 and 1 don't count."""
-    order = F.xxhash64(key)
-    some = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("y")).distinct()
-    some = F.broadcast(some.orderBy(F.xxhash64("__k"), "__k", "y").limit(max_rows))
-    joined = docs.join(some, docs[key] == some["__k"]).select(F.struct(order.alias("h"), F.col(key).alias("k"), F.col("y")).alias("r"), "text")
+def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_LABELLED, key: str = "doc_id", text: str = "text") -> Trees:
+    """Trees fitted to at most max_rows labelled documents, those with the smallest hashes of their ids.
+
+    Rows with a null id or a label other than 0 and 1 don't count; a null text counts as empty; repeated rows of docs each count,
+    of repeated rows of labels one does. Other columns of either table, whatever their names, play no part. Without labelled
+    rows the score is a constant.
+    """
+    some = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).distinct()
+    some = F.broadcast(some.orderBy(F.xxhash64("k"), "k", "y").limit(max_rows))
+    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(some, "k").select(F.struct(F.xxhash64("k").alias("h"), "k", "y").alias("r"), "text")
     got = features(joined, "r").orderBy("r").limit(max_rows).select("r.y", "features").collect()
     x = np.array([r.features for r in got]).reshape(-1, len(FEATURES))
     return train(x, np.array([r.y for r in got], np.float64))
@@ -150,7 +154,10 @@ def score_quality(df: DataFrame, trees: Trees, key: str = "doc_id", text: str =
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The digest columns of documents(doc_id, text), learned from labels of documents whose id's residue isn't 0."""
+    """The digest columns of documents(doc_id, text), learned from labels of documents whose id's residue isn't 0.
+
+    Null and empty texts are scored like any other; repeated rows each give a row.
+    """
     trees = learn_quality(docs.filter(id_residue(5) != 0), labels.filter(id_residue(5) != 0))
     scored = score_quality(docs, trees)
     return scored.select("doc_id", (id_residue(5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
