@@ -1,32 +1,32 @@
 """The corpus pipeline: language, near copies, benchmark passages, mixing, shards.
 
-Each stage works on all rows that the one before it kept; all but the last return the columns of documents. Texts
-without letters, null and empty ones among them, have no language and go in the first stage, whether or not there are labels to learn from; repeated rows with equal id and text share their fate in the second and third.
-An empty table stays empty.
+Each stage works on all rows that the one before it kept; all but the last return the columns of documents, whatever other columns
+there are. The first stage rejects texts without letters, null and empty ones among them, whether or not there are labels to learn from;
+texts in none of LANGUAGES; and texts whose language is doubtful. Of rows with equal id and text the second keeps one. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from estatelens.llm.common import id_residue, stored
 from estatelens.llm.decontaminate import decontaminate
 from estatelens.llm.jaccard import keep_first
-from estatelens.llm.langid import UNKNOWN, learn_profiles, with_language
+from estatelens.llm.langid import learn_profiles, select_languages
 from estatelens.llm.mixing import mix
 from estatelens.llm.sharding import external_shuffle
 
 
+#: Languages to keep; None: all that the labels name. A text needs this score (0 to 1): over 0.5, its language is likelier than all others together.
+LANGUAGES, LEAST_SCORE = None, 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language is found; learns from two thirds of the labelled rows.
+    """Keeps documents in one of LANGUAGES with a score of LEAST_SCORE at least; learns from two thirds of the labelled rows.
 
     Where no language could be learned, all documents with letters stay.
     """
-    profiles = learn_profiles(docs.filter(id_residue(3) != 1))
-    if not profiles.languages:
-        return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return with_language(docs, profiles, out="__language").filter(F.col("__language") != UNKNOWN).select(*docs.columns)
+    return select_languages(docs, learn_profiles(docs.filter(id_residue(3) != 1)), LANGUAGES, LEAST_SCORE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
