@@ -94,3 +94,54 @@ def filter_anchors(anchors: DataFrame, kinds: Sequence[str] = (), teams: Sequenc
     """Anchors of the kinds and teams; an empty filter narrows nothing."""
     out = anchors.filter(F.col("kind").isin(*kinds)) if kinds else anchors
     return out.filter(F.col("team").isin(*teams)) if teams else out
+
+
+def selected(resolved: DataFrame, owners: DataFrame) -> DataFrame:
+    """resolved anchors with selector_missed and their targets narrowed by what an anchor asks for alone.
+
+    resolved(doc, kind, ref, targets, only_assembly, only_team); owners(target, assembly, team). Assemblies and teams are compared whole.
+    Where nothing fits, the targets stay and selector_missed says so; anchors that ask for nothing stay as they are.
+    """
+    asks = F.coalesce("only_assembly", "only_team").isNotNull()
+    rows = resolved.filter(asks).select("doc", "kind", "ref", "only_assembly", "only_team", F.explode("targets").alias("target")).join(owners, "target")
+    fits = F.when(F.col("only_assembly").isNotNull(), F.col("assembly") == F.col("only_assembly")).otherwise(F.col("team") == F.col("only_team"))
+    kept = rows.filter(fits).groupBy("doc", "kind", "ref").agg(F.array_sort(F.collect_set("target")).alias("__kept"))
+    j = resolved.join(kept, ["doc", "kind", "ref"], "left")
+    return j.withColumn("selector_missed", asks & F.col("__kept").isNull() & (F.size("targets") > 0)).withColumn("targets", F.coalesce("__kept", "targets")).drop("__kept")
+
+
+def link_warnings(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc, kind, ref, reason) of verified, resolved anchors that give no link: selector_missed, no_implementation or not_documented."""
+    rows = resolved.filter("verify and state = 'resolved'")
+    some = rows.select("doc", "kind", "ref", F.explode("targets").alias("target")).join(nodes.select(F.col("fqn").alias("target")).distinct(), "target", "left_semi").select("doc", "kind", "ref").distinct()
+    reason = F.when(F.col("selector_missed"), "selector_missed").when(F.size("targets") == 0, "no_implementation").when(F.col("__some").isNull(), "not_documented")
+    j = rows.join(some.withColumn("__some", F.lit(True)), ["doc", "kind", "ref"], "left").withColumn("reason", reason)
+    return j.filter("reason is not null").select("doc", "kind", "ref", "reason")
+
+
+#: The checks of a catalogue in the order in which they are reported.
+CHECKS = ("unresolved", "selector-empty", "no-entry", "ambiguous-version", "unknown-capability", "unknown-team", "team-mismatch", "catalog", "registry-unlinked", "uncovered", "pages-uncovered", "features-uncovered")
+
+
+def lint_catalog(docs: DataFrame, resolved: DataFrame, capabilities: DataFrame, teams: DataFrame, records: DataFrame, owners: DataFrame, pages: DataFrame, features: DataFrame, errors: DataFrame) -> DataFrame:
+    """(ordinal, check, subject): all twelve checks of a catalogue, in order.
+
+    docs(doc, kind, has_entry, capability); resolved as selected() gives it; capabilities(id); teams(id); records(kind, ref, team, target, linked) of
+    the registries, a row for each implementation they name; owners(target, team); pages(route); features(name); errors(doc).
+    """
+    anchor = F.concat_ws(":", "doc", "kind", "ref")
+    checked = resolved.filter("verify")
+    owned = records.filter("team is not null").join(owners.select("target", F.col("team").alias("owner")), "target").filter("owner is not null and owner <> team")
+    gone = lambda left, right, on: left.join(right, on, "left_anti")
+    found = {
+        "unresolved": checked.filter("state = 'unresolved'").select(anchor), "selector-empty": checked.filter("selector_missed").select(anchor), "no-entry": docs.filter("kind = 'process' and not has_entry").select("doc"),
+        "ambiguous-version": checked.filter("state = 'ambiguous' and not selector_missed").select(anchor), "unknown-capability": gone(docs.filter("capability is not null"), capabilities.select(F.col("id").alias("capability")), "capability").select("doc"),
+        "unknown-team": gone(resolved.filter("only_team is not null"), teams.select(F.col("id").alias("only_team")), "only_team").select(anchor), "team-mismatch": owned.select(F.concat_ws(":", "kind", "ref")).distinct(), "catalog": errors.select("doc"),
+        "registry-unlinked": records.filter("target is not null and not linked").select(F.concat_ws(":", "kind", "ref", "target")), "uncovered": gone(records.select("kind", "ref").distinct(), resolved.select("kind", "ref"), ["kind", "ref"]).select(F.concat_ws(":", "kind", "ref")),
+        "pages-uncovered": gone(pages.select("route"), resolved.filter("kind = 'page'").select(F.col("ref").alias("route")), "route").select("route"), "features-uncovered": gone(features.select("name"), resolved.filter("kind = 'feature'").select(F.trim("ref").alias("name")), "name").select("name"),
+    }
+    out = None
+    for i, check in enumerate(CHECKS):
+        part = found[check].toDF("subject").select(F.lit(i).alias("ordinal"), F.lit(check).alias("check"), "subject")
+        out = part if out is None else out.union(part)
+    return out.orderBy("ordinal", "subject")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import family_of, literal_is_noise, seam_kind
+
 DAYS_IN_MONTH = 30.44
+#: Candidate registries that are compared with each other at most.
+MOST_SETS = 2000
 
 
 def composition(files: DataFrame, by: str = "lang", size: str = "lines") -> DataFrame:
@@ -41,6 +45,42 @@ def shared_literals(literals: DataFrame, family: str, least_families: int = 2) -
     return wide.join(files, "literal").select("literal", "files", "families")
 
 
+def seams(literals: DataFrame, imports: DataFrame) -> DataFrame:
+    """(literal, kind, languages, families, files): literals that two families of languages know, or two files of one family if it is a route.
+
+    literals(file, lang, literal); imports(target): what modules import isn't a seam but a dependency, and plain literals name nothing.
+    """
+    named = literals.select("file", "lang", "literal").filter(~literal_is_noise(F.col("literal"))).join(imports.select(F.col("target").alias("literal")).distinct(), "literal", "left_anti")
+    by_lang = named.select("literal", "lang").distinct().groupBy("literal").agg(F.array_sort(F.collect_list("lang")).alias("languages"))
+    wide = by_lang.withColumn("families", F.array_sort(F.array_distinct(F.transform("languages", family_of)))).withColumn("kind", seam_kind(F.col("literal")))
+    able = wide.filter((F.size("families") > 1) | (F.col("kind") == "route"))
+    files = named.join(able.select("literal"), "literal", "left_semi").groupBy("literal").agg(F.count_distinct("file").alias("files"))
+    return able.join(files, "literal").filter((F.size("families") > 1) | (F.col("files") > 1)).select("literal", "kind", "languages", "families", "files")
+
+
+def seam_report(found: DataFrame, top: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, by kind, by pair of languages) of seams: the widest first, then those in most files, ties by literal."""
+    candidates = found.orderBy(F.desc(F.size("families")), F.desc("files"), "literal").limit(top)
+    pairs = found.filter(F.size("languages") == 2).groupBy(F.array_join("languages", " - ").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+    return candidates, found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), pairs
+
+
+#: Words of a commit's subject that tell of a repair.
+REPAIR = r"(?i)\b(fix(?:es|ed)?|bug(?:fix)?|hotfix|patch|repair|исправл|фикс|починк|дефект)\b"
+
+
+def archaeology(history: DataFrame, files: DataFrame, months: float = 0) -> DataFrame:
+    """(path, lines, commits, fix_commits, score) of all files(path, lines): how often each was touched and repaired; untouched ones have 0.
+
+    history(commit, at, author, subject, path). months: only so far back from the newest commit; 0: all.
+    """
+    within = recent(history, "at", months) if months else history
+    touched = within.groupBy("path").agg(F.count(F.lit(1)).alias("commits"), F.count(F.when(F.col("subject").rlike(REPAIR), 1)).alias("fix_commits"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    j = files.join(touched, "path", "left").select("path", "lines", zero("commits"), zero("fix_commits"))
+    return j.withColumn("score", F.col("commits") * F.col("lines"))
+
+
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """How many distinct keys of left are in right, as one row."""
     a = left.select(key).distinct()
@@ -48,15 +88,21 @@ def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return hit.agg(F.count(F.lit(1)).alias("ids"), F.count("__r").alias("known"))
 
 
-def drop_overlapping(sets: DataFrame, group: str, ids: str, share: float = 0.8) -> DataFrame:
+def drop_overlapping(sets: DataFrame, group: str, ids: str, share: float = 0.8, most: int = MOST_SETS) -> DataFrame:
     """Greedy, from the largest set on (ties by name): a set mostly inside an already kept one goes.
 
-    sets are candidate registries, a few hundred; the loop runs on the driver over their names and sizes, and overlap counts.
+    sets are candidate registries; the loop runs on the driver over their names, sizes and overlaps. More than `most` of them are refused with
+    ValueError, as overlaps are as many as pairs. An id's sets are paired where the id is, so a common id makes most**2 / 2 pairs at most.
     """
-    rows = sets.select(F.col(group).alias("g"), F.explode(F.array_distinct(ids)).alias("i"))
-    size = {r.g: r.n for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    common = rows.alias("a").join(rows.alias("b"), F.col("a.i") == F.col("b.i")).filter("a.g <> b.g").groupBy(F.col("a.g").alias("x"), F.col("b.g").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    shares = {(r.x, r.y): r.n for r in common.collect()}
+    rows = sets.select(F.col(group).alias("g"), F.explode(F.array_distinct(ids)).alias("i")).distinct()
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} sets")
+    size = {r.g: r.n for r in sizes}
+    held = rows.groupBy("i").agg(F.array_sort(F.collect_list("g")).alias("gs")).filter(F.size("gs") > 1).groupBy("gs").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.flatten(F.transform("gs", lambda x, k: F.transform(F.slice("gs", k + 2, F.size("gs")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    common = held.select("n", F.inline(pairs)).groupBy("x", "y").agg(F.sum("n").alias("n")).collect()  # most**2 / 2 rows at most
+    shares = {(r.x, r.y): r.n for r in common} | {(r.y, r.x): r.n for r in common}
     kept: list = []
     for g in sorted(size, key=lambda g: (-size[g], g)):
         if all(shares.get((g, k), 0) < share * size[g] for k in kept):

@@ -91,6 +91,25 @@ def compile_condition(tree: dict, predicates: Predicates, where: str = "rule") -
     return out
 
 
+def load_rules(items, where: str, outcome: str, required: Sequence[str] = ("id", "priority", "when")) -> list[Rule]:
+    """Rules of a parsed configuration: a list of mappings, each with the required fields and ids that don't repeat.
+
+    outcome: the field that names what a rule decides (kind, team or reason). None is an empty list.
+    """
+    if items is None:
+        return []
+    if not isinstance(items, list):
+        raise RuleError(f"{where}: rules have to be a list")
+    out = []
+    for n, item in enumerate(items):
+        lacking = ["a mapping"] if not isinstance(item, Mapping) else sorted({*required, outcome} - item.keys())
+        if lacking:
+            raise RuleError(f"{where}: rule {n} lacks {', '.join(lacking)}")
+        out.append(Rule(str(item["id"]), int(item["priority"]), dict(item["when"]), str(item[outcome]), str(item.get("template", "")), item.get("unless")))
+    check_rules(out)
+    return out
+
+
 def check_rules(rules: Sequence[Rule]) -> None:
     seen: set[str] = set()
     for r in rules:

@@ -100,3 +100,22 @@ def cached_or_pending(files: DataFrame, cache: DataFrame, version: str) -> tuple
     valid = cache.filter(F.col("parser_version") == version)
     hits = valid.join(files.select("path", "content_hash"), ["path", "content_hash"], "left_semi")
     return hits, files.join(hits.select("path"), "path", "left_anti")
+
+
+def accepted_state(nodes: DataFrame, key: str = "id") -> DataFrame:
+    """(key, accepted_signature, accepted_impl, accepted_kind, accepted_members) as the nodes are now: what a reviewer accepts.
+
+    members(kind, name, modifiers) of a node count by name if they are public. No time is part of it, so accepting twice changes nothing.
+    """
+    public = F.filter("members", lambda m: F.array_contains(m["modifiers"], "public"))
+    return nodes.select(key, F.col("signature_hash").alias("accepted_signature"), F.col("impl_hash").alias("accepted_impl"), F.col("kind").alias("accepted_kind"), F.array_sort(F.array_distinct(F.transform(public, lambda m: m["name"]))).alias("accepted_members"))
+
+
+def cache_put(cache: DataFrame, results: DataFrame) -> DataFrame:
+    """The cache with results in place of what it held for their paths."""
+    return cache.join(results.select("path").distinct(), "path", "left_anti").unionByName(results)
+
+
+def cache_prune(cache: DataFrame, files: DataFrame) -> DataFrame:
+    """The cache without files that are no longer there."""
+    return cache.join(files.select("path").distinct(), "path", "left_semi")

@@ -167,3 +167,10 @@ def sql_usages(parsed: DataFrame, methods: Sequence[str]) -> DataFrame:
     calls = parsed.select("path", F.inline("literal_calls")).filter(F.col("method").isin(*methods))
     facts = calls.withColumn("f", sql_facts(F.get("arguments", F.lit(0))))
     return facts.select("path", "member", "line", "f.reads", "f.writes", "f.calls", "f.dynamic").filter("dynamic or size(reads) + size(writes) + size(calls) > 0")
+
+
+def relations(symbols: DataFrame) -> DataFrame:
+    """(fqn, target, relation): each symbol with the known interfaces among all its bases. symbols has base_type_closure."""
+    interfaces = symbols.filter("type_kind = 'interface'").select(F.col("fqn").alias("target")).distinct()
+    pairs = symbols.select("fqn", F.explode("base_type_closure").alias("target")).distinct()
+    return pairs.join(interfaces, "target").select("fqn", "target", F.lit("implements").alias("relation"))

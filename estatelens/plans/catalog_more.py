@@ -586,6 +586,24 @@ def index_questions(spark, d):
     return spark.createDataFrame(rows, "question string, row string, total long")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+@query("""WITH c AS (SELECT c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT DISTINCT 'r' || n_regionkey AS root FROM c WHERE c_custkey IN (7, 8, 9)""")
+def stored_index(spark, d):
+    """Put to an index that is written once for each application and table folder."""
+    from ..sources import store
+    from .tables import temporary
+
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _STORED:
+        ix, folder = _index(spark, d), temporary(spark, "index")
+        store.write_index(folder, ix.nodes, ix.edges, pairs=ix.pairs.repartition("node").sortWithinPartitions("node"))
+        _STORED[at] = folder
+    pairs = store.read_index(spark, _STORED[at], "pairs")
+    return graph.affects(pairs.filter(F.col("node").isin("c7", "c8", "c9")), spark.createDataFrame([("c7",), ("c8",), ("c9",)], "node string"))
+
+
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT name AS node, 'name' AS field, lower(trim(name)) AS norm FROM n UNION ALL SELECT name, 'brand', lower((SELECT min(p_brand) FROM part WHERE p_name = name)) FROM n UNION ALL SELECT name, 'file', 'f' FROM n""")
 def search_entries(spark, d):
     p = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_brand").alias("b"))
@@ -615,3 +633,129 @@ def record_checks(spark, d):
     kind = F.when(k % 3 == 0, "entry_point").when(k % 3 == 1, "odd").otherwise("layer")
     rows = s.select(kind.alias("kind"), _tag("k", "s_suppkey").alias("key"), F.create_map(F.lit("role"), F.lit("r")).alias("fields")).union(spark.createDataFrame([("seam", "", {"seam_kind": "q"})], "kind string, key string, fields map<string,string>"))
     return registries.check_records(rows).groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- blocks of a report, whole runs ------------------------------------------------------------------------------------
+
+
+@query(r"""WITH l AS (SELECT page_id AS file, CASE page_id % 3 WHEN 0 THEN 'csharp' WHEN 1 THEN 'typescript' ELSE 'html' END AS lang, unnest(['api/x' || page_id % 4, 'queue-' || page_id % 5, 'name', '@lib/core', 'OWN_' || page_id]) AS literal FROM pages),
+g AS (SELECT literal, list_sort(list(DISTINCT lang)) AS languages, list_sort(list(DISTINCT CASE WHEN lang = 'csharp' THEN 'dotnet' ELSE 'web' END)) AS families, count(DISTINCT file) AS files FROM l WHERE literal NOT IN ('name', '@lib/core') GROUP BY 1)
+SELECT literal, CASE WHEN literal LIKE 'api/%' THEN 'route' WHEN literal LIKE 'OWN%' THEN 'upper_name' ELSE 'dashed_name' END AS kind, array_to_string(languages, ',') AS languages, array_to_string(families, ',') AS families, files FROM g WHERE len(families) > 1 OR (literal LIKE 'api/%' AND files > 1)""")
+def seam_candidates(spark, d):
+    k = F.col("page_id")
+    n = lambda m: (k % m).cast("string")
+    literals = F.array(F.concat(F.lit("api/x"), n(4)), F.concat(F.lit("queue-"), n(5)), F.lit("name"), F.lit("@lib/core"), F.concat(F.lit("OWN_"), k.cast("string")))
+    rows = table(spark, d, "pages").select(k.alias("file"), F.when(k % 3 == 0, "csharp").when(k % 3 == 1, "typescript").otherwise("html").alias("lang"), F.explode(literals).alias("literal"))
+    found = recon.seams(rows, spark.createDataFrame([("@lib/core",)], "target string"))
+    return found.select("literal", "kind", F.array_join("languages", ",").alias("languages"), F.array_join("families", ",").alias("families"), "files")
+
+
+@query(r"""WITH h AS (SELECT o_orderkey, 'c' || o_custkey AS path, CASE WHEN o_orderstatus = 'P' THEN 'Fix a leak' WHEN o_orderstatus = 'F' THEN 'prefix only' ELSE 'add' END AS subject FROM orders)
+SELECT 'c' || c_custkey AS path, count(o_orderkey) AS commits, count(*) FILTER (subject = 'Fix a leak') AS fix_commits, count(o_orderkey) * c_nationkey AS score FROM customer LEFT JOIN h ON path = 'c' || c_custkey GROUP BY 1, c_nationkey""")
+def file_history(spark, d):
+    subject = F.when(F.col("o_orderstatus") == "P", "Fix a leak").when(F.col("o_orderstatus") == "F", "prefix only").otherwise("add")
+    history = table(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("at"), F.lit("a").alias("author"), subject.alias("subject"), _tag("c", "o_custkey").alias("path"))
+    files = table(spark, d, "customer").select(_tag("c", "c_custkey").alias("path"), F.col("c_nationkey").alias("lines"))
+    return recon.archaeology(history, files).select("path", "commits", "fix_commits", "score")
+
+
+@query("""SELECT 'graph' AS longer, 'repo/App' AS prefix, count(*) AS files FROM supplier""")
+def root_diagnosis(spark, d):
+    s = table(spark, d, "supplier")
+    file = F.concat(_tag("src/n", "s_nationkey"), _tag("/f", "s_suppkey"), F.lit(".cs"))
+    return binding.diagnose_roots(s.select(F.concat(F.lit("repo/App/"), file).alias("file")), s.select(file.alias("file")))
+
+
+@query("""SELECT 'App.M' || s_nationkey || '.S' || s_suppkey AS fqn, 'App.IRoot' AS target FROM supplier""")
+def implemented_interfaces(spark, d):
+    s = _symbols(spark, d).filter("module like 'M%'").select("fqn", "type_kind", F.array(F.lit("App.IRoot"), F.lit("Else.IGone")).alias("base_type_closure"))
+    root = spark.createDataFrame([("App.IRoot", "interface", [])], "fqn string, type_kind string, base_type_closure array<string>")
+    return symbols.relations(s.union(root)).select("fqn", "target")
+
+
+@query("""SELECT s_suppkey AS id, 'sig' || s_nationkey AS accepted_signature, 'k' AS accepted_kind, CASE WHEN s_suppkey % 2 = 0 THEN 'A,B' ELSE 'A' END AS members FROM supplier""")
+def accepted_states(spark, d):
+    member = lambda n, public: F.struct(F.lit(n).alias("name"), F.array(F.lit("public") if public is True else F.when(public, "public").otherwise("private")).alias("modifiers"))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), _tag("sig", "s_nationkey").alias("signature_hash"), F.lit("i").alias("impl_hash"), F.lit("k").alias("kind"), F.array(member("B", F.col("s_suppkey") % 2 == 0), member("A", True), member("A", True)).alias("members"))
+    return snapshots.accepted_state(rows).select("id", "accepted_signature", "accepted_kind", F.array_join("accepted_members", ",").alias("members"))
+
+
+@query("""SELECT 'p' || p_partkey AS path, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'old' END AS content_hash FROM part WHERE p_partkey % 5 <> 0""")
+def cache_upkeep(spark, d):
+    p = table(spark, d, "part")
+    old = p.select(_tag("p", "p_partkey").alias("path"), F.lit("old").alias("content_hash"))
+    put = snapshots.cache_put(old, p.filter("p_partkey % 3 = 0").select(_tag("p", "p_partkey").alias("path"), F.lit("new").alias("content_hash")))
+    return snapshots.cache_prune(put, p.filter("p_partkey % 5 <> 0").select(_tag("p", "p_partkey").alias("path")))
+
+
+def _catalogue(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Anchors of orders' customers that ask for an assembly or a team, and who owns their targets."""
+    o = table(spark, d, "orders").withColumn("k", F.col("o_custkey") % 30)
+    anchors = o.select(
+        _tag("d", "k").alias("doc"), F.lit("job").alias("kind"), F.concat(F.lit("r"), (F.col("k") % 6).cast("string")).alias("ref"), F.lit(True).alias("verify"), F.when(F.col("k") % 6 == 5, "unresolved").otherwise("resolved").alias("state"),
+        F.when(F.col("k") % 6 == 5, F.array().cast("array<string>")).otherwise(F.array(F.lit("N.A"), F.lit("N.B"))).alias("targets"), F.when(F.col("k") % 3 == 0, "asm-a").alias("only_assembly"), F.when(F.col("k") % 3 == 1, "nobody").alias("only_team"),
+    ).distinct()
+    owners = spark.createDataFrame([("N.A", "asm-a", "t1"), ("N.B", "asm-b", "t2")], "target string, assembly string, team string")
+    return business.selected(anchors, owners), owners
+
+
+_CATALOGUE = "WITH k AS (SELECT DISTINCT o_custkey % 30 AS k FROM orders), a AS (SELECT k, 'd' || k AS doc, 'r' || k % 6 AS ref, CASE WHEN k % 6 = 5 THEN '' WHEN k % 3 = 0 THEN 'N.A' ELSE 'N.A,N.B' END AS targets, k % 3 = 1 AS missed FROM k)"
+
+
+@query(f"{_CATALOGUE} SELECT doc, ref, targets, missed FROM a")
+def selected_targets(spark, d):
+    rows, _ = _catalogue(spark, d)
+    return rows.select("doc", "ref", F.array_join("targets", ",").alias("targets"), F.col("selector_missed").alias("missed"))
+
+
+@query(f"{_CATALOGUE} SELECT doc, ref, 'selector_missed' AS reason FROM a WHERE missed UNION ALL SELECT doc, ref, 'not_documented' FROM a WHERE targets = 'N.A'")
+def missing_links(spark, d):
+    rows, _ = _catalogue(spark, d)
+    return business.link_warnings(rows, spark.createDataFrame([("N.B",)], "fqn string")).select("doc", "ref", "reason")
+
+
+@query(f"""{_CATALOGUE} SELECT 'unresolved' AS "check", doc || ':job:' || ref AS subject FROM a WHERE targets = '' UNION ALL SELECT 'selector-empty', doc || ':job:' || ref FROM a WHERE missed UNION ALL SELECT 'no-entry', doc FROM a WHERE k % 10 = 3 UNION ALL SELECT 'unknown-capability', doc FROM a WHERE k % 10 = 4
+UNION ALL SELECT 'unknown-team', doc || ':job:' || ref FROM a WHERE missed UNION ALL SELECT 'team-mismatch', 'job:r0' UNION ALL SELECT 'catalog', 'bad.md' UNION ALL SELECT 'registry-unlinked', 'job:r0:X.Gone' UNION ALL SELECT 'uncovered', 'job:far' UNION ALL SELECT 'pages-uncovered', 'home' UNION ALL SELECT 'features-uncovered', 'pay'""")
+def catalogue_checks(spark, d):
+    rows, owners = _catalogue(spark, d)
+    k = F.regexp_extract("doc", "[0-9]+", 0).cast("int") % 10
+    docs = rows.select("doc").distinct().select("doc", F.when(k == 3, "process").otherwise("entity").alias("kind"), F.lit(False).alias("has_entry"), F.when(k == 4, "lost").when(k == 5, "cap").alias("capability"))
+    of = lambda ddl, *r: spark.createDataFrame(list(r), ddl)
+    records = of("kind string, ref string, team string, target string, linked boolean", ("job", "r0", "t2", "N.A", True), ("job", "r0", None, "X.Gone", False), ("job", "far", "t1", "N.A", True))
+    found = business.lint_catalog(docs, rows, of("id string", ("cap",)), of("id string", ("t1",), ("t2",)), records, owners, of("route string", ("home",)), of("name string", ("pay",)), of("doc string", ("bad.md",)))
+    return found.select("check", "subject")
+
+
+def _estate(spark, d) -> DataFrame:
+    """Files of a small estate: a class for each supplier, a project for each nation and what they share."""
+    from .catalog_code import _CLASS, _SHARED
+
+    s = table(spark, d, "supplier")
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    digit = lambda n: (F.col("s_suppkey") % n).cast("string")
+    body = _fill(_CLASS, n=nation, k=key, b=digit(3), i=digit(10), j=((F.col("s_suppkey") + 1) % 10).cast("string"))
+    code = s.select(*_file(F.concat(F.lit("src/M"), nation, F.lit("/S"), key, F.lit(".cs")), body))
+    project = s.select(nation.alias("n")).distinct().select(*_file(F.concat(F.lit("src/M"), "n", F.lit("/M"), "n", F.lit(".csproj")), F.lit("<Project><ItemGroup><ProjectReference Include='../Shared/Shared.csproj'/></ItemGroup></Project>")))
+    shared = spark.createDataFrame([*_SHARED, ("src/Shared/Shared.csproj", "<Project></Project>")], "path string, text string").select(*_file(F.col("path"), F.col("text")))
+    return code.union(project).union(shared)
+
+
+def _scanned(spark, d):
+    from ..operators import run
+
+    kinds = [Rule("service", 5, {"name_regex": ["S[0-9]+"]}, "service")]
+    return run.scan(_estate(spark, d), kinds, excludes=[Rule("roots", 0, {"name_suffix": ["Root"]}, "a root")])
+
+
+@query("""SELECT 'files' AS what, count(*) + 3 AS n FROM supplier UNION ALL SELECT 'parse_errors', 0 UNION ALL SELECT 'declarations', count(*) + 15 FROM supplier UNION ALL SELECT 'symbols', count(*) + 14 FROM supplier UNION ALL SELECT 'modules', count(DISTINCT s_nationkey) + 1 FROM supplier
+UNION ALL SELECT 'nodes', count(*) FROM supplier UNION ALL SELECT 'state:classified', count(*) FROM supplier UNION ALL SELECT 'state:excluded', 1 UNION ALL SELECT 'state:undecided', 13""")
+def scan_counters(spark, d):
+    return _scanned(spark, d).counters
+
+
+@query("""SELECT 'entry:GET api/s' || s_suppkey || '/{}/get' AS root, 5 AS reached FROM supplier""")
+def built_index(spark, d):
+    from ..operators import run
+
+    index, _ = run.build(_scanned(spark, d))
+    return index.pairs.filter("node <> root").groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("reached"))

@@ -26,7 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
 
 
-_made: list[tuple[SparkSession, str, DataFrame]] = []
+_made: list[tuple[SparkSession, str, DataFrame | None]] = []
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the process ends."""
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path, None))
+    return path
 
 
 def discard(df: DataFrame) -> None:

@@ -325,3 +325,80 @@ def test_members_keep_their_keys_when_parameters_are_renamed(spark):
         return [r.key for r in nodes.filter("kind = 'member'").collect()]
 
     assert keys("int a, string b = null") == keys("int x, string other") != keys("long a, string b")
+
+
+API = """using App.Core; namespace App.Web;
+[Route("api/orders")] public class OrdersController : ControllerBase { public OrdersController(IStore s) { }
+  [HttpGet("{id}")] public int Get(int id) => 1; void Ask() { bus.Send(new Ping()); } }
+class Startup { void Add(IServiceCollection s) { s.AddScoped<IStore, Store>(); s.AddScoped<IStore, FarStore>(); s.AddScoped<INone, Store>(); } }
+public class PingHandler : IRequestHandler<Ping> { public void Handle(Ping p) { } }
+public class Ping { }
+"""
+CORE = 'namespace App.Core; public interface IStore { void Load(); } public class Store : IStore { public void Load() { db.Query("SELECT * FROM Orders"); } }'
+PROJECT = "<Project><ItemGroup>{}</ItemGroup></Project>"
+
+
+def estate(spark, **changed):
+    files_ = {
+        "web/Web.csproj": PROJECT.format("<ProjectReference Include='..\\core\\Core.csproj'/>"), "core/Core.csproj": PROJECT.format(""), "far/Far.csproj": PROJECT.format(""),
+        "web/Api.cs": API, "core/Store.cs": CORE, "far/Far.cs": "namespace App.Far; public class FarStore : App.Core.IStore { public void Load() { } }", "db/p.sql": "CREATE PROCEDURE P AS SELECT 1 FROM T",
+    }
+    rows = [(p, t) for p, t in (files_ | {k.replace("__", "/") + ".cs": v for k, v in changed.items()}).items()]
+    return spark.createDataFrame(rows, "path string, text string").withColumn("content_hash", F.sha2("text", 256))
+
+
+KINDS = [Rule("c", 5, {"name_suffix": ["Controller"]}, "controller"), Rule("s", 1, {"inherits": ["App.Core.IStore"]}, "store")]
+
+
+def test_scan_and_build(spark):
+    from estatelens.operators import run
+
+    settings = {"kinds": KINDS, "excludes": [Rule("far", 0, {"path_glob": ["far/**"]}, "far")], "interfaces": ["IRequestHandler"], "sql_methods": ["Query"], "domains": [("shop", "W*")]}
+    s = run.scan(estate(spark), **settings)
+    assert {r.what: r.n for r in s.counters.collect()} == {"files": 3, "parse_errors": 0, "declarations": 7, "symbols": 7, "modules": 3, "nodes": 2, "state:classified": 2, "state:excluded": 1, "state:undecided": 4}
+    nodes = {r.fqn: (r.state, r.kind, r.doc_path, r.domain) for r in s.nodes.collect()}
+    assert nodes["App.Web.OrdersController"] == ("classified", "controller", "docs/modules/controller/Web/orders-controller.md", "shop") and nodes["App.Core.Store"][:2] == ("classified", "store") and nodes["App.Far.FarStore"][0] == "excluded"
+    assert [(r.http_method, r.route) for r in s.endpoints.collect()] == [("GET", "api/orders/{}")] and [r.reads for r in s.sql_usages.collect()] == [["orders"]] and [r.name for r in s.sql_objects.collect()] == ["p"]
+    ask = spark.createDataFrame([("web/Api.cs", "Get", "core/Store.cs", "Gone"), ("web/Api.cs", "Get", "web/Api.cs", "Ask")], "source_file string, source_name string, target_file string, target_name string")
+    index, counts = run.build(s, ask)
+    n = {(r.stage, r.what): r.n for r in counts.collect()}
+    assert n["binds", "out_of_reach"] == 1 and n["binds", "unknown_service"] == 1 and n["binds", "bound"] == 2 and n["binds", "binds"] == 1 and n["calls", "calls"] == 1 and n["dispatch", "dispatches"] == 1 and n["entries", "dispatches"] == 1
+    assert [r["root"] for r in index.affects(["web/Api.cs"]).rows] == ["entry:GET api/orders/{}"]
+    assert {r["kind"]: r["total"] for r in index.reaches("entry:GET api/orders/{}").rows}["type"] == 2  # the controller, and the handler it sends to
+
+
+def test_scoped_scan(spark):
+    from estatelens.operators import run
+
+    settings = {"kinds": KINDS, "sql_methods": ["Query"]}
+    first = run.scan(estate(spark), **settings)
+    changed = CORE.replace("Orders", "Lines").replace("class Store ", "class NewStore ")
+    again = run.scan(estate(spark, core__Store=changed), scope=["core"], previous=first, cache=first.parsed, **settings)
+    assert {r.fqn for r in again.nodes.collect()} == {r.fqn for r in first.nodes.collect()} - {"App.Core.Store"} | {"App.Core.NewStore"}
+    assert [r.reads for r in again.sql_usages.collect()] == [["lines"]] and again.registrations.count() == first.registrations.count() == 3
+    hit = run.scan(estate(spark), cache=first.parsed, **settings)
+    assert sorted(hit.nodes.select("key", "impl_hash").collect()) == sorted(first.nodes.select("key", "impl_hash").collect())
+
+
+WEB = {
+    "app/src/shared/index.ts": "export * from './api.service';\n",
+    "app/src/shared/api.service.ts": "import { HttpClient } from 'x';\n@Injectable()\nexport class ApiService {\n  constructor(private http: HttpClient) {}\n  load(id: string) { return this.http.get(`/pm/orders/${id}`); }\n  any(u: string) { return this.http.post(u); }\n}\n",
+    "app/src/pages/orders.component.ts": "import { ApiService } from '@shared';\n@Component({ selector: 'o' })\nexport class OrdersComponent {\n  constructor(private readonly api: ApiService) {}\n  open() { return this.api.load('1'); }\n}\n",
+    "app/src/routes.ts": "import { OrdersComponent } from './pages/orders.component';\nexport const routes: Routes = [{ path: 'orders', component: OrdersComponent }, { path: 'gone', component: Missing }];\n",
+    "app/src/pages/orders.component.spec.ts": "export class Spec {}\n",
+}
+
+
+def test_scanned_web(spark):
+    from estatelens.operators import run
+
+    files_ = spark.createDataFrame(list(WEB.items()), "path string, text string").withColumn("content_hash", F.sha2("text", 256))
+    one = lambda ddl, *rows: spark.createDataFrame(list(rows), ddl)
+    kinds = [Rule("c", 5, {"attribute": ["Component"]}, "component"), Rule("s", 5, {"attribute": ["Injectable"]}, "service")]
+    w = run.scan_web(files_, one("module string, source_root string", ("app", "app/src")), kinds, aliases=one("prefix string, target string", ("@shared", "app/src/shared")), rewrites=one("module string, strip_prefix string, add_prefix string", ("app", "/pm", "api")))
+    nodes = {r.name: (r.kind, r.n_routes, r.n_calls, r.absorbed_by) for r in w.nodes.collect()}
+    page = "app/src/pages/orders.component#OrdersComponent"
+    assert nodes == {"OrdersComponent": ("page", 1, 0, None), "ApiService": ("api_service", 0, 1, page)}
+    assert [(r.fqn, r.http_method, r.route) for r in w.calls.collect()] == [("app/src/shared/api.service#ApiService", "GET", "api/orders/{}")] and w.unresolved.count() == 1
+    assert [(r.src, r.dst, r.method) for r in w.uses.collect()] == [(page, "app/src/shared/api.service#ApiService", "load")]
+    assert sorted((r.path, r.component, r.unresolved) for r in w.routes.collect()) == [("gone", "Missing", False), ("orders", page, False)]
