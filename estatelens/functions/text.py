@@ -175,3 +175,28 @@ def relative_path(source: Column, target: Column) -> Column:
     common = F.coalesce(F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: F.when((i > most) | (F.get(a, i - 1) != F.get(b, i - 1)), i - 1)), lambda i: i.isNotNull())), most)
     ups = F.array_repeat(F.lit(".."), F.size(a) - common)
     return F.array_join(F.concat(ups, F.slice(b, common + 1, F.size(b) - common)), "/")
+
+
+#: The folder of a business document by the first part of its id.
+DOCUMENT_FOLDERS = {"bp": "processes", "be": "entities", "cap": "capabilities"}
+
+
+def business_path(doc_id: Column, root: str) -> Column:
+    """Where a business document lies: its id, which never changes, says so. Null for an id of another form."""
+    table = F.create_map(*(F.lit(x) for pair in DOCUMENT_FOLDERS.items() for x in pair))
+    parts = F.split(doc_id, r"\.")
+    folder = F.try_element_at(table, F.get(parts, F.lit(0)))
+    return F.when(F.size(parts) > 1, F.concat(F.lit(root.rstrip("/") + "/"), folder, F.lit("/"), F.array_join(F.slice(parts, 2, F.size(parts)), "/"), F.lit(".md")))
+
+
+def counted(n: Column, one: str, few: str, many: str) -> Column:
+    """A number with its noun in the form that Slavic languages ask for: 1, 21, ... one; 2 to 4, 22 to 24, ... few; others many."""
+    teen = (n % 100).between(11, 14)
+    form = F.when(~teen & (n % 10 == 1), one).when(~teen & (n % 10).between(2, 4), few).otherwise(many)
+    return F.concat_ws(" ", n.cast("string"), form)
+
+
+def state_name(decorators: Column) -> Column:
+    """The name that a State decorator gives, as its contract, of decorators(name, args); empty without one."""
+    states = F.transform(F.filter(decorators, lambda a: a["name"] == "State"), lambda a: F.regexp_extract(F.array_join(a["args"], ","), r"\bname\s*:\s*['\"]([^'\"]*)['\"]", 1))
+    return F.coalesce(F.get(states, F.lit(0)), F.lit(""))

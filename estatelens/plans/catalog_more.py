@@ -759,3 +759,25 @@ def built_index(spark, d):
 
     index, _ = run.build(_scanned(spark, d))
     return index.pairs.filter("node <> root").groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("reached"))
+
+
+@query("""SELECT 'Page' || page_id || 'Service' AS name, 'api_service' AS kind, 2 AS n_calls, 0 AS n_routes FROM pages""")
+def web_run(spark, d):
+    from ..operators import run
+    from .catalog_code import _SERVICE
+
+    k = F.col("page_id").cast("string")
+    files = table(spark, d, "pages").select(*_file(F.concat(F.lit("src/app/p"), k, F.lit(".ts")), _fill(_SERVICE, k=k, w=F.concat(F.lit("w"), (F.col("page_id") % 7).cast("string")))))
+    found = run.scan_web(files, spark.createDataFrame([("app", "src/app")], "module string, source_root string"), [Rule("s", 1, {"attribute": ["Injectable"]}, "service")])
+    return found.nodes.select("name", "kind", "n_calls", "n_routes")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'docs/processes/' || o_custkey || '/x.md' WHEN o_orderstatus = 'O' THEN 'docs/capabilities/' || o_custkey || '/x.md' END AS path, o_custkey || ' ' || CASE WHEN o_custkey % 100 BETWEEN 11 AND 14 THEN 'rows' WHEN o_custkey % 10 = 1 THEN 'row' WHEN o_custkey % 10 BETWEEN 2 AND 4 THEN 'few rows' ELSE 'rows' END AS size,
+CASE WHEN o_orderstatus = 'F' THEN 's' || o_custkey ELSE '' END AS state FROM orders""")
+def small_texts(spark, d):
+    key = F.col("o_custkey").cast("string")
+    prefix = F.when(F.col("o_orderstatus") == "F", "bp").when(F.col("o_orderstatus") == "O", "cap").otherwise("odd")
+    decorator = F.array(F.struct(F.when(F.col("o_orderstatus") == "F", "State").otherwise("Other").alias("name"), F.array(F.concat(F.lit("{ defaults: 1, name: 's"), key, F.lit("' }"))).alias("args")))
+    return table(spark, d, "orders").select(
+        "o_orderkey", text.business_path(F.concat(prefix, F.lit("."), key, F.lit(".x")), "docs").alias("path"), text.counted(F.col("o_custkey"), "row", "few rows", "rows").alias("size"), text.state_name(decorator).alias("state")
+    )
