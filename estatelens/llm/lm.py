@@ -1,45 +1,47 @@
-"""Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
+"""Language-model scores: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
-Every word of the corpus has a vector of its own as target; logit = log of its count + word vector . state's features. The
-state is that of the word before: the end and the most frequent words are states, the other frequent words take the
-state whose next words are most like theirs, and words that aren't frequent share one. The states' vectors come from exact
-pair counts, in which words that aren't states count by hash. Each word's vector is then fitted to the exact counts of the states before it, with sampled noise; as noise-contrastive
-estimation parts the words, they are fitted where they lie, whatever their number. The normaliser of a state is the sum over all words.
+The words before a token (CONTEXT of them) have a vector each; scaled by place and added they predict the token, whose logit is its own
+vector's product with that sum, plus a bias. What is predicted are outputs: the corpus's frequent words and, for all other words, seen or
+not, one of BUCKETS endings; in its bucket a word has its share of the counts. Outputs are in classes of like frequency,
+and P(output) = P(class) * P(output in its class), each normalised by batched matrix products over all its terms.
 
-Counts, states and vectors of frequent words are broadcast, of a proven number; rare words are joined by shuffle, and none of them is
-frequent enough to make a hot key.
+Training covers all rows, in blocks: first one block alone, for a start; then each block goes on from there on its own, and what
+the blocks learned is averaged, by how often each met a vector. All tokens are seen then, at the cost of one model for each block.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_residue, small_batches, stored, trimmed, utf8_of
 
-#: States of the model: the end, the other words, then the most frequent words.
-CLASSES = 512
-END, OTHER = 0, 1
-#: What stands for the end among words; no word has white space.
+#: What stands for the end among words; no word has white space. A text begins after CONTEXT ends.
 END_WORD = b"\n"
-#: Words whose counts are broadcast, at most (some 30 bytes each).
+#: Frequent words at most, and the count they need; buckets of all other words; letters (bytes) of their endings.
+VOCABULARY, LEAST, BUCKETS, ENDING = 1 << 14, 4, 1 << 12, 3
+CONTEXT, DIMENSIONS, NOISE, BATCH, RATE, SEED = 4, 24, 48, 1024, np.float32(0.1), 11
+#: Classes, as a share of the number at which scoring has the fewest terms: training goes over classes only.
+CLASSES = 0.5
+#: Tokens of a training block at least, if there are so many.
+BLOCK_TOKENS = 4 << 20
+#: Parts in which the blocks' models are added up.
+PARTS = 16
+#: Words whose counts are broadcast for scoring, at most (some 30 bytes each); those of all others are joined.
 MAX_FREQUENT = 1 << 19
-FLUSH = 200_000
-DIMENSIONS, NOISE, STEPS, RATE, SEED = 48, 12.0, 400, 0.03, 11
+#: Words that a task holds with their counts before it gives them out; words whose outputs it holds.
+FLUSH, HELD = 500_000, 200_000
 SMOOTH = 0.1
-#: Pairs a task adds up before it gives them out; tokens scored at once; evidence (log10) for a state of one's own; a state's
-#: longest row of features.
-PAIRS_HELD, PART, STATE_MARGIN, LENGTH = 1 << 20, 1 << 14, 2.0, 10.0
-#: Words seen less than SOME times take one step from nothing, those seen less than OFTEN times further ones with
-#: SAMPLED states as noise, others with all states; a word vector's prior.
-SOME, OFTEN, SAMPLED, STEPS_BY_KIND, RIDGE = 16, 1000, 96, (0, 8, 24), np.float32(1000)
+#: Tokens scored at once; logits made at once, few enough to stay in a processor's cache.
+PART, CACHED = 1 << 15, 1 << 17
 #: Sums over shuffled rows are taken in units of 2**-36, so that their order doesn't matter.
 UNIT = float(1 << 36)
 
@@ -48,264 +50,317 @@ def _tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END_WORD]
 
 
+def _encoded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of texts (UTF-8): their distinct tokens, the end first; all tokens as places in these, text after text; each text's number of tokens."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    flat, owner = parts.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    some = pc.greater(pc.binary_length(flat), 0)
+    code = flat.filter(some).dictionary_encode()
+    n = np.bincount(owner[some.to_numpy(zero_copy_only=False)], minlength=len(texts)) + 1
+    words = [END_WORD, *code.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()]
+    codes, ends = np.empty(int(n.sum()), np.int64), np.cumsum(n) - 1
+    inner = np.ones(len(codes), bool)
+    inner[ends] = False
+    codes[ends], codes[inner] = 0, code.indices.to_numpy() + 1
+    return words, codes, n
+
+
+def _bucket(word: bytes, buckets: int) -> int:
+    return zlib.crc32(word[-ENDING:]) % buckets
+
+
 def count_words(train: DataFrame) -> DataFrame:
-    """(word, c) of all tokens of train(t), added up per task before the shuffle."""
+    """(word, c) of all tokens of train(t), added up per task before the shuffle. An empty text is one end."""
     small_batches(train.sparkSession)
 
-    def batch_of(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+    def added(parts):
+        table = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+        return table.select(["word", "c_sum"]).rename_columns(["word", "c"])
 
     def run(batches):
-        counts: Counter = Counter()
+        parts, rows = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(_tokens(text))
-                if len(counts) > FLUSH:
-                    yield batch_of(counts)
-                    counts.clear()
-        if counts:
-            yield batch_of(counts)
+            if not batch.num_rows:
+                continue
+            words, codes, _ = _encoded(batch.column(0))
+            parts.append(pa.table({"word": pa.array(words, pa.binary()), "c": np.bincount(codes, minlength=len(words))}))
+            rows += len(words)
+            if rows > 2 * FLUSH:
+                parts = [added(parts)]
+                rows = len(parts[0])
+                if rows > FLUSH:
+                    yield from parts[0].to_batches(max_chunksize=1 << 16)
+                    parts, rows = [], 0
+        if parts:
+            yield from added(parts).to_batches(max_chunksize=1 << 16)
 
     return train.select("t").mapInArrow(trimmed(run), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-@dataclass
-class Model:
-    """words: frequent words, the end first, with counts, vectors and states as context, and last the state of all other
-    words. P(word | state) = (count + SMOOTH) * exp(vector . phi[state]) / 10**scale[state], over all words of the corpus
-    and one share for the unseen ones."""
+class _Outputs(dict):
+    """The output of each word: its own, or that of its ending's bucket."""
 
-    words: list[bytes]
-    counts: np.ndarray
-    states: np.ndarray
-    vectors: np.ndarray
-    phi: np.ndarray
-    scale: np.ndarray
-    total: int
-    distinct: int
-    mark: str  # tells models apart in a worker that serves several
+    def __init__(self, vocabulary: list[bytes], buckets: int) -> None:
+        super().__init__((w, i) for i, w in enumerate(vocabulary))
+        self.first, self.buckets = len(vocabulary), buckets
 
-    @property
-    def base_scale(self) -> float:
-        return float(np.log10(self.total + SMOOTH * (self.distinct + 1)))
+    def __missing__(self, word: bytes) -> int:
+        out = self.first + _bucket(word, self.buckets)
+        if len(self) < HELD:
+            self[word] = out
+        return out
 
 
-def train_table(pairs: np.ndarray) -> np.ndarray:
-    """log10 P(class | context) of a log-bilinear model fitted to counts by context and class."""
-    return train_vectors(pairs)[1]
-
-
-def train_vectors(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The context vectors of a log-bilinear model fitted to counts by context and class, and its table of log10 P(class | context)."""
-    rng, (n, wide) = np.random.default_rng(SEED), pairs.shape
-    by_word = pairs.sum(axis=0) + 0.5
-    noise = by_word / by_word.sum()
-    data = pairs / max(pairs.sum(), 1)
-    weight = NOISE * data.sum(axis=1, keepdims=True) * noise
-    p = [rng.normal(0, 0.05, (n, DIMENSIONS)), rng.normal(0, 0.05, (wide, DIMENSIONS)), np.log(noise)]
-    shift, m, v = np.log(NOISE * noise), [0.0] * 3, [0.0] * 3
-    for step in range(1, STEPS + 1):
-        true = 1 / (1 + np.exp(-(p[0] @ p[1].T + p[2] - shift)))
-        g = data * (1 - true) - weight * true
-        grads = [g @ p[1] - 1e-7 * p[0], g.T @ p[0] - 1e-7 * p[1], g.sum(axis=0)]
-        for i, x in enumerate(grads):
-            m[i], v[i] = 0.9 * m[i] + 0.1 * x, 0.99 * v[i] + 0.01 * x**2
-            p[i] = p[i] + RATE * (1 - step / (STEPS + 1)) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
-    logits = p[0] @ p[1].T + p[2]
-    logits -= logits.max(axis=1, keepdims=True)
-    return p[0], (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / np.log(10)
-
-
-def _share(train: DataFrame, value):
-    small_batches(train.sparkSession)
-    return train.sparkSession.sparkContext.broadcast(value)
+@dataclass
+class Shape:
+    """What is fixed before training: words with an output of their own, the outputs' counts, and their classes."""
 
+    vocabulary: list[bytes]
+    mass: np.ndarray
+    mark: str  # tells models apart in a worker that serves several
 
-def _index(words: list[bytes], mark: str) -> dict[bytes, int]:
+    @property
+    def buckets(self) -> int:
+        return len(self.mass) - len(self.vocabulary)
+
+    def __post_init__(self) -> None:
+        self.share = self.mass / self.mass.sum()
+        order = np.argsort(-self.mass, kind="stable")
+        root = np.sqrt(self.share[order])  # equal sums of roots make the fewest terms: as many in a class, by frequency, as there are classes
+        of = np.empty(len(order), np.int64)
+        of[order] = CLASSES * (np.cumsum(root) - root / 2)
+        self.classes = np.unique(of, return_inverse=True)[1]
+        self.class_share = np.bincount(self.classes, self.share)
+        self.members = np.split(np.argsort(self.classes, kind="stable"), np.cumsum(np.bincount(self.classes))[:-1])
+        self.place = np.empty(len(order), np.int64)
+        for x in self.members:
+            self.place[x] = np.arange(len(x))
+
+
+def start(shape: Shape) -> dict[str, np.ndarray]:
+    """Before training each output has its share of the corpus, whatever the context."""
+    rng, n, f = np.random.default_rng(SEED), len(shape.mass), np.float32
+    return {
+        "context": rng.normal(0, 0.1, (n, DIMENSIONS)).astype(f), "place": np.full((CONTEXT, 1), CONTEXT**-0.5, f), "word": np.zeros((n, DIMENSIONS), f), "word_bias": np.log(shape.share).astype(f)[:, None],
+        "class": np.zeros((len(shape.class_share), DIMENSIONS), f), "class_bias": np.log(shape.class_share).astype(f)[:, None],
+    }
+
+
+#: Arrays with a row for each output; which count of meetings weighs them.
+BY_OUTPUT = {"context": "met_context", "word": "met_word", "word_bias": "met_word"}
+
+
+def _stream(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The outputs of texts of n tokens each, with CONTEXT ends (output 0) before each text, and which are to be predicted."""
+    at = np.arange(len(ids)) + np.repeat(CONTEXT * np.arange(1, len(n) + 1), n)
+    w, real = np.zeros(len(ids) + CONTEXT * len(n), np.int64), np.zeros(len(ids) + CONTEXT * len(n), bool)
+    w[at], real[at] = ids, True
+    return w, real
+
+
+def _hidden(model: dict, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted sums of the context vectors before each output of w after the first CONTEXT, and the context vectors of w."""
+    e, t, place = model["context"].take(w, axis=0), len(w) - CONTEXT, model["place"][:, 0]
+    h = e[CONTEXT - 1 : CONTEXT - 1 + t] * place[0]
+    for i in range(1, CONTEXT):
+        h += e[CONTEXT - 1 - i : CONTEXT - 1 - i + t] * place[i]
+    return h, e
+
+
+class Trainer:
+    """Goes over a block's tokens once, in batches, from a given model."""
+
+    def __init__(self, shape: Shape, model: dict[str, np.ndarray]) -> None:
+        self.shape, self.before = shape, model
+        self.model = {k: v.copy() for k, v in model.items()}
+        self.seen = {k: np.full(len(v), 1e-6, np.float32) for k, v in model.items()}
+        self.met = {k: np.zeros(len(shape.mass), np.float32) for k in ("met_context", "met_word")}
+        self.rng, self.tokens = np.random.default_rng(SEED), 0
+        self.upto, self.level = np.cumsum(shape.share), np.log(shape.share * NOISE).astype(np.float32)
+        self.class_level = np.log(shape.class_share * NOISE).astype(np.float32)
+        self.class_noise = (shape.class_share * NOISE).astype(np.float32)
+
+    def _move(self, name: str, rows, g: np.ndarray) -> None:
+        """One AdaGrad step, with one sum of squares for each row."""
+        seen = self.seen[name][rows] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+        self.seen[name][rows] = seen
+        self.model[name][rows] += g * (RATE / np.sqrt(seen))[:, None]
+
+    @staticmethod
+    def _by_row(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        return rows[first], np.add.reduceat(g.take(order, axis=0), first, axis=0)
+
+    def step(self, w: np.ndarray, real: np.ndarray) -> None:
+        """One batch: w begins CONTEXT before its first token; real: which tokens count (the ends before a text don't)."""
+        m, t = self.model, len(w) - CONTEXT
+        h, e = _hidden(m, w)
+        true, real = w[CONTEXT:], real.astype(np.float32)
+
+        # words: the true ones against NOISE sampled ones that the batch shares
+        noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.upto) - 1)
+        x, y = m["word"].take(true, axis=0), m["word"].take(noise, axis=0)
+        g = np.einsum("ij,ij->i", h, x)
+        g += m["word_bias"][true, 0] - self.level[true]
+        g = real / (1 + np.exp(g, out=g))
+        false = h @ y.T
+        np.subtract(self.level[noise] - m["word_bias"][noise, 0], false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.divide(-real[:, None], false, out=false)
+        dh = false @ y
+        x *= g[:, None]
+        dh += x
+        each = np.empty((t + NOISE, DIMENSIONS + 1), np.float32)
+        np.multiply(g[:, None], h, out=each[:t, :-1])
+        each[t:, :-1] = false.T @ h
+        each[:t, -1], each[t:, -1] = g, false.sum(axis=0)
+        rows, moved = self._by_row(np.append(true, noise), each)
+
+        # classes: against all of them, each as often as it is noise
+        of = self.shape.classes[true]
+        cells = h @ m["class"].T
+        cells += m["class_bias"][:, 0] - self.class_level
+        own = real / (1 + np.exp(cells[np.arange(t), of]))
+        np.negative(cells, out=cells)
+        np.exp(cells, out=cells)
+        cells += 1
+        np.divide(-self.class_noise, cells, out=cells)
+        cells *= real[:, None]
+        cells[np.arange(t), of] += own
+        dh += cells @ m["class"]
+        self._move("class", slice(None), cells.T @ h)
+        self._move("class_bias", slice(None), cells.sum(axis=0)[:, None])
+        self._move("word", rows, moved[:, :-1])
+        self._move("word_bias", rows, moved[:, -1:])
+        self.met["met_word"][rows] += 1
+
+        de, places, place = np.zeros_like(e), np.empty_like(m["place"]), m["place"][:, 0]
+        for i in range(CONTEXT):
+            at = slice(CONTEXT - 1 - i, CONTEXT - 1 - i + t)
+            places[i] = np.vdot(e[at], dh)
+            de[at] += dh * place[i]
+        rows, moved = self._by_row(w, de)
+        self._move("context", rows, moved)
+        self.met["met_context"][rows] += 1
+        self._move("place", slice(None), places)
+        self.tokens += int(real.sum())
+
+    def learned(self) -> list[tuple[int, bytes]]:
+        """By part what this block changed, weighed by its meetings, behind these; PARTS is the part of what isn't by output."""
+        change = {k: (self.model[k] - self.before[k]) for k in self.model}
+        out = []
+        for p in range(PARTS):
+            cells = [self.met[x][p::PARTS] for x in ("met_context", "met_word")]
+            cells += [(change[k][p::PARTS].T * self.met[x][p::PARTS]).T.ravel() for k, x in BY_OUTPUT.items()]
+            out.append((p, np.concatenate(cells).astype(np.float32).tobytes()))
+        rest = np.concatenate([change[k].ravel() * self.tokens for k in sorted(change.keys() - BY_OUTPUT.keys())])
+        return [*out, (PARTS, np.append(self.tokens, rest).astype(np.float32).tobytes())]
+
+
+def merged(shape: Shape, model: dict[str, np.ndarray], sums: dict[int, np.ndarray]) -> dict[str, np.ndarray]:
+    """The model after blocks whose learned() adds up to sums."""
+    out = {k: v.copy() for k, v in model.items()}
+    for p, x in sums.items():
+        if p < PARTS:
+            n = len(range(p, len(shape.mass), PARTS))
+            met, at = {"met_context": x[:n], "met_word": x[n : 2 * n]}, 2 * n
+            for k, by in BY_OUTPUT.items():
+                size = n * (out[k].shape[1] if out[k].ndim > 1 else 1)
+                change = x[at : at + size].reshape(n, -1) / np.maximum(met[by], 1)[:, None]
+                out[k][p::PARTS] += change.reshape(out[k][p::PARTS].shape).astype(np.float32)
+                at += size
+        elif x[0]:
+            at = 1
+            for k in sorted(out.keys() - BY_OUTPUT.keys()):
+                out[k] += (x[at : at + out[k].size] / x[0]).reshape(out[k].shape).astype(np.float32)
+                at += out[k].size
+    return out
+
+
+_LOADED: dict[str, object] = {}
+
+
+def _loaded(mark: str, make):
+    """What make() gives, kept in the worker for its model."""
     if mark not in _LOADED:
         _LOADED.clear()
-        _LOADED[mark] = {w: i for i, w in enumerate(words)}
+        _LOADED[mark] = make()
     return _LOADED[mark]
 
 
-_LOADED: dict[str, dict[bytes, int]] = {}
-
-
-def _class_of(at, anchors: int):
-    """The class of a frequent word by its place; the end is the first word."""
-    return np.where(at == 0, END, np.where(at <= anchors, at + 1, OTHER))
-
-
-def _summed(parts: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, which = np.unique(np.concatenate(parts), return_inverse=True)
-    return keys, np.bincount(which, np.concatenate(numbers)).astype(np.int64)
-
-
-def count_contexts(train: DataFrame, words: list[bytes], anchors: int, mark: str) -> DataFrame:
-    """(u, k, n): how often a word of class k follows the frequent word u, or a word that isn't frequent (u = len(words)).
-
-    Words that aren't states are told apart by hash, in as many further classes.
-    """
-    shared = _share(train, words)
+def train_blocks(train: DataFrame, shape: Shape, model: dict[str, np.ndarray], blocks: int, first: bool = False) -> dict[str, np.ndarray]:
+    """The model after each of so many blocks of train(t) has gone on from it; with first, after one block alone, of BLOCK_TOKENS at most."""
+    small_batches(train.sparkSession)
+    shared = train.sparkSession.sparkContext.broadcast((shape, model))
 
     def run(batches):
-        index, count = _index(shared.value, mark), len(shared.value)
-        hashed = lambda w: CLASSES + zlib.crc32(w) % CLASSES
-        of = np.append(_class_of(np.arange(count), anchors), OTHER)
-        of[anchors + 1 : count] = [hashed(w) for w in shared.value[anchors + 1 :]]
-        keys, numbers, held = [], [], 0
-
-        def sums():
-            i, n = _summed(keys, numbers)
-            return pa.RecordBatch.from_arrays([pa.array(i // (2 * CLASSES)), pa.array(i % (2 * CLASSES)), pa.array(n)], ["u", "k", "n"])
-
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId()
+        if first and block:
+            return
+        shape, model = shared.value
+        outputs, trainer = _Outputs(shape.vocabulary, shape.buckets), Trainer(shape, model)
+        w, real = np.zeros(CONTEXT, np.int64), np.zeros(CONTEXT, bool)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = _tokens(text)
-                at = np.array([0, *(index.get(w, count) for w in tokens)], np.int64)
-                k = of[at[1:]]
-                for i in np.flatnonzero(at[1:] == count):
-                    k[i] = hashed(tokens[i])
-                keys.append(at[:-1] * 2 * CLASSES + k)
-                numbers.append(np.ones(len(at) - 1, np.int64))
-                held += len(at) - 1
-            if held > PAIRS_HELD:
-                i, n = _summed(keys, numbers)
-                keys, numbers, held = [i], [n], len(i)
-                if held > PAIRS_HELD // 2:
-                    yield sums()
-                    keys, numbers, held = [], [], 0
-        if keys:
-            yield sums()
-
-    return train.select("t").mapInArrow(trimmed(run), "u bigint, k bigint, n bigint").groupBy("u", "k").agg(F.sum("n").alias("n"))
-
-
-def assign_states(contexts: DataFrame, table: np.ndarray, anchors: int) -> DataFrame:
-    """(u, s): the state of each frequent word that isn't an anchor, that whose next classes are most like the word's own."""
-    shared = _share(contexts, table.astype(np.float32))
-
-    def run(batches):
-        t = shared.value
+            if not batch.num_rows:
+                continue
+            words, codes, n = _encoded(batch.column(0))
+            more, counts = _stream(np.fromiter(map(outputs.__getitem__, words), np.int64, len(words)).take(codes), n)
+            w, real = np.append(w, more), np.append(real, counts)
+            at = 0
+            while len(w) - at >= CONTEXT + BATCH:
+                trainer.step(w[at : at + CONTEXT + BATCH], real[at + CONTEXT : at + CONTEXT + BATCH])
+                at += BATCH
+            w, real = w[at:], real[at:]
+            if first and trainer.tokens >= BLOCK_TOKENS:
+                break
+        if len(w) > CONTEXT:
+            trainer.step(w, real[CONTEXT:])
+        if trainer.tokens:
+            part, x = zip(*trainer.learned())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([block] * len(part), pa.int32()), pa.array(x, pa.binary())], ["part", "block", "x"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            ks, ns = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            sums = np.stack([t[:, k] @ np.array(n, np.float32) for k, n in zip(ks, ns)]) if ks else np.zeros((0, len(t)))
-            sums[:, OTHER] += STATE_MARGIN  # without evidence for another state a word stays with the others
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums.argmax(axis=1).astype(np.int64))], ["u", "s"])
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                sums[p] = sums.get(p, 0) + np.frombuffer(x, np.float32).astype(np.float64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "x"])
 
-    pair = F.sort_array(F.collect_list(F.struct("k", "n")))
-    rows = contexts.filter(F.col("u") > anchors).groupBy("u").agg(pair.alias("x")).select("u", F.col("x.k").alias("k"), F.col("x.n").alias("n"))
-    return rows.mapInArrow(trimmed(run), "u bigint, s bigint")
+    learned = train.select("t").coalesce(blocks).mapInArrow(trimmed(run), "part int, block int, x binary")
+    added = learned.repartitionById(PARTS + 1, "part").sortWithinPartitions("part", "block").mapInArrow(trimmed(add), "part int, x binary")
+    return merged(shape, model, {r.part: np.frombuffer(r.x) for r in added.collect()})  # a row for each part, of a constant size
 
 
-def count_targets(train: DataFrame, words: list[bytes], states: np.ndarray, mark: str) -> DataFrame:
-    """(w, word, js, ns): of every word of the corpus how often it follows each state; w is a frequent word's place, word any other word."""
-    shared = _share(train, (words, states))
+@dataclass
+class Model:
+    """shape and trained arrays; frequent words with their counts; the corpus's size. P(word | context) = P(output | context) for
+    words with an output of their own, else that times (count + SMOOTH) / 10**scale[bucket]; each bucket has one more share
+    of SMOOTH for the words that were never seen."""
 
-    def run(batches):
-        words, states = shared.value
-        index, count = _index(words, mark), len(words)
-        keys, numbers, held, rare = [], [], 0, Counter()
+    shape: Shape
+    arrays: dict[str, np.ndarray]
+    words: list[bytes]
+    counts: np.ndarray
+    scale: np.ndarray
+    total: int
+    distinct: int
 
-        def sums():
-            i, n = _summed(keys, numbers) if keys else (np.zeros(0, np.int64),) * 2
-            w = pa.array([*(i // CLASSES).tolist(), *[None] * len(rare)], pa.int64())
-            word = pa.array([*[None] * len(i), *(x for x, _ in rare)], pa.binary())
-            j, n = [*(i % CLASSES).tolist(), *(x for _, x in rare)], [*n.tolist(), *rare.values()]
-            return pa.RecordBatch.from_arrays([w, word, pa.array(j, pa.int32()), pa.array(n, pa.int64())], ["w", "word", "j", "n"])
+    @property
+    def base_scale(self) -> float:
+        return float(np.log10(self.total + SMOOTH * (self.distinct + 1)))
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = _tokens(text)
-                at = np.array([0, *(index.get(w, count) for w in tokens)], np.int64)
-                j, known = states[at[:-1]], at[1:] < count
-                keys.append(at[1:][known] * CLASSES + j[known])
-                numbers.append(np.ones(len(keys[-1]), np.int64))
-                held += len(keys[-1])
-                rare.update((tokens[i], int(j[i])) for i in np.flatnonzero(~known))
-            if held > PAIRS_HELD:
-                i, n = _summed(keys, numbers)
-                keys, numbers, held = [i], [n], len(i)
-            if held > PAIRS_HELD // 2 or len(rare) > FLUSH:
-                yield sums()
-                keys, numbers, held = [], [], 0
-                rare.clear()
-        if keys or rare:
-            yield sums()
-
-    rows = train.select("t").mapInArrow(trimmed(run), "w bigint, word binary, j int, n bigint")
-    return rows.groupBy("w", "word").agg(F.collect_list("j").alias("js"), F.collect_list("n").alias("ns"))
-
-
-def features(vectors: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The states' vectors and a constant, turned and scaled so that over n they are uncorrelated and of unit size; rows of
-    states that are seldom seen are shortened to LENGTH."""
-    share = n / max(n.sum(), 1)
-    x = np.hstack([vectors - share @ vectors, np.ones((len(vectors), 1))])
-    size, turn = np.linalg.eigh((x * share[:, None]).T @ x)
-    some = size > 1e-6 * size.max()
-    phi = x @ turn[:, some] / np.sqrt(size[some])
-    return (phi * np.minimum(1, LENGTH / np.maximum(np.linalg.norm(phi, axis=1, keepdims=True), 1e-9))).astype(np.float32)
-
-
-def fit_words(phi: np.ndarray, n: np.ndarray, row: np.ndarray, j: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """A vector for each word, from how often it follows which state: noise-contrastive, each word on its own.
-
-    The states' features phi stay. The noise is the word's own share of the corpus after every state: all of them for
-    words that are seen often, sampled ones for others, the same whichever words share the batch.
-    """
-    rng, share = np.random.default_rng(SEED), (n / max(n.sum(), 1)).astype(np.float32)
-    count = np.bincount(row, times).astype(np.float32)
-    out = np.zeros((len(count), phi.shape[1]), np.float32)
-    kind, level = np.digitize(count, (SOME, OFTEN)), np.float32(np.log(NOISE))
-    for k, steps in enumerate(STEPS_BY_KIND):
-        pick = np.flatnonzero(kind == k)
-        if not len(pick):
-            continue
-        place = np.full(len(count), -1)
-        place[pick] = np.arange(len(pick))
-        mine = place[row] >= 0
-        at, x, t = place[row[mine]], phi[j[mine]], times[mine].astype(np.float32)
-        first, c = np.searchsorted(at, np.arange(len(pick))), count[pick][:, None]
-        # from nothing, true pairs pull and all the noise pushes alike
-        r = (np.add.reduceat(t[:, None] * x, first) - c * (share @ phi)) * np.float32(NOISE / (1 + NOISE)) / (c + RIDGE)
-        for _ in range(steps):
-            other = np.arange(len(phi)) if k == 2 else rng.choice(len(phi), SAMPLED, p=share / share.sum(dtype=np.float64))
-            weight = share if k == 2 else np.full(SAMPLED, 1 / SAMPLED, np.float32)
-            noise = np.float32(NOISE) * c * (weight / (1 + np.exp(np.minimum(level - r @ phi[other].T, 60))))
-            true = t / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", r[at], x) - level, 60)))
-            g = np.add.reduceat(true[:, None] * x, first) - noise @ phi[other] - RIDGE * r
-            r += g / (2 * c + RIDGE)
-        out[pick] = np.clip(r, -30, 30)
-    return out.astype(np.float16)
-
-
-def fit_targets(targets: DataFrame, phi: np.ndarray, n: np.ndarray) -> DataFrame:
-    """(w, word, c, r, z): the words' counts and vectors; a row without any word adds up a batch's exp(score) by state."""
-    shared = _share(targets, (phi, n))
 
-    def run(batches):
-        phi, n = shared.value
-        z = np.zeros(len(phi))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            js, ns = batch.column(2), batch.column(3)
-            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in js])
-            key, times = _summed([row * CLASSES + js.flatten().to_numpy()], [ns.flatten().to_numpy()])
-            row, j = key // CLASSES, key % CLASSES
-            r = fit_words(phi, n, row, j, times)
-            c = np.bincount(row, times).astype(np.int64)
-            z += ((c + SMOOTH)[:, None] * np.exp(r.astype(np.float32) @ phi.T)).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c), pa.array([x.tobytes() for x in r], pa.binary()), pa.array([None] * len(c), pa.binary())], ["w", "word", "c", "r", "z"])
-        none = pa.array([None], pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array([None], pa.binary()), none, pa.array([None], pa.binary()), pa.array([z.tobytes()], pa.binary())], ["w", "word", "c", "r", "z"])
-
-    return targets.mapInArrow(trimmed(run), "w bigint, word binary, c bigint, r binary, z binary")
-
-
-def learn(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of train(t), whose word counts are given, and (word, c, r) of the words that aren't frequent."""
+def learn(train: DataFrame, counts: DataFrame) -> Model:
+    """The model of train(t), whose word counts are given.
+
+    An empty table gives a model in which all words are unseen. Repeated rows count each time; other columns play no part.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     level = F.floor(F.log2("c") * 8)
     least, n = None, 0
@@ -316,105 +371,129 @@ def learn(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
         least = r.level
     frequent = (level >= (least if least is not None else 1 << 30)) | (F.col("word") == END_WORD)
     got = counts.filter(frequent).toArrow()  # MAX_FREQUENT rows and the end at most
-    pairs_of = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist()))
-    words = [END_WORD, *sorted(pairs_of.keys() - {END_WORD}, key=lambda w: (-pairs_of[w], w))]
-    of_word = np.array([pairs_of.get(w, 0) for w in words], np.int64)
-    del got, pairs_of
-    anchors, mark = min(CLASSES - 2, len(words) - 1), uuid.uuid4().hex
-
-    contexts = stored(count_contexts(train, words, anchors, mark), "lm-contexts")
-    u = F.when(F.col("u") == 0, END).when(F.col("u") <= anchors, F.col("u") + 1).otherwise(OTHER)
-    pairs = np.zeros((CLASSES, 2 * CLASSES))
-    for r in contexts.groupBy(u.alias("u"), "k").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes at most
-        pairs[r.u, r.k] = r.n
-    vectors, table = train_vectors(pairs)
-    states = np.append(_class_of(np.arange(len(words)), anchors), OTHER)
-    got = assign_states(contexts.filter(F.col("u") < len(words)), table, anchors).toArrow()
-    states[got.column("u").to_numpy()] = got.column("s").to_numpy()
-    n = np.bincount(states, np.append(of_word, total - of_word.sum()), CLASSES)
-
-    phi = features(vectors, n)
-    fitted = stored(fit_targets(count_targets(train, words, states, mark), phi, n), "lm-fitted")
-    z = sum((np.frombuffer(r.z) for r in fitted.filter("z is not null").select("z").collect()), np.full(CLASSES, SMOOTH))  # 4 KB a task; one more share for all unseen words
-    own = fitted.filter("w is not null").select("w", "r").toArrow()
-    vectors = np.zeros((len(words), phi.shape[1]), np.float16)
-    if own.num_rows:
-        vectors[own.column("w").to_numpy()] = np.frombuffer(b"".join(own.column("r").to_pylist()), np.float16).reshape(-1, phi.shape[1])
-    return Model(words, of_word, states, vectors, phi, np.log10(z), total, distinct, mark), fitted.filter("word is not null").select("word", "c", "r")
+    c = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist()))
+    del got
+    words = [END_WORD, *sorted(c.keys() - {END_WORD}, key=lambda w: (-c[w], w))]
+    of_word = np.array([c.get(w, 0) for w in words], np.int64)
+    own = 1 + int((of_word[1:VOCABULARY] >= LEAST).sum())
+
+    bucket = F.pmod(F.crc32(F.substring("word", -ENDING, ENDING)), F.lit(BUCKETS))
+    sums, kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for r in counts.groupBy(bucket.alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():  # BUCKETS rows at most
+        sums[r.b], kinds[r.b] = r.c, r.n
+    for w, n in zip(words[:own], of_word):  # words with an output of their own are in no bucket
+        if n:
+            sums[_bucket(w, BUCKETS)] -= n
+            kinds[_bucket(w, BUCKETS)] -= 1
+    shape = Shape(words[:own], np.append(of_word[:own], sums) + SMOOTH, uuid.uuid4().hex)
+    model, blocks = start(shape), max(1, total // BLOCK_TOKENS)
+    for first in (True, False):
+        model = train_blocks(train, shape, model, blocks, first)
+    return Model(shape, model, words, of_word, np.log10(sums + SMOOTH * (kinds + 1)), total, distinct)
+
+
+def log_probabilities(shape: Shape, arrays: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
+    """Natural log P(output | the CONTEXT outputs before it) of w's outputs after the first CONTEXT, normalised."""
+    norm = lambda x: float(np.einsum("ij,ij->i", x, x).max(initial=0))
+    bias = max(float(arrays["word_bias"].max()), float(arrays["class_bias"].max()))
+    longest, ones = max(norm(arrays["word"]), norm(arrays["class"])), np.ones(max(len(shape.members), max(map(len, shape.members))), np.float32)
+
+    def picked(logits: np.ndarray, bias: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+        logits += bias[:, 0]
+        own = logits[np.arange(len(at)), at]
+        if safe:
+            return own - np.log(np.exp(logits, out=logits) @ ones[: logits.shape[1]])
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+        return own - top - np.log(np.exp(logits, out=logits) @ ones[: logits.shape[1]])
+
+    of, h = shape.classes[w[CONTEXT:]], np.empty((len(w) - CONTEXT, DIMENSIONS), np.float32)
+    vectors, out, safe = np.ascontiguousarray(arrays["class"].T), np.empty(len(h)), True
+    step = max(1, CACHED // vectors.shape[1])
+    for i in range(0, len(h), step):
+        part, _ = _hidden(arrays, w[i : i + step + CONTEXT])
+        fits = (norm(part) * longest) ** 0.5 + bias < 60  # no sum of exp can overflow
+        out[i : i + step] = picked(part @ vectors, arrays["class_bias"], of[i : i + step], fits)
+        h[i : i + step], safe = part, safe and fits
+    order = np.argsort(of.astype(np.uint16), kind="stable")  # fewer classes than the root of 2**32
+    bounds = np.searchsorted(of[order], np.arange(len(shape.members) + 1))
+    for k in np.flatnonzero(np.diff(bounds)):
+        mine = shape.members[k]
+        if len(mine) == 1:
+            continue
+        vectors, own_bias, rows = np.ascontiguousarray(arrays["word"][mine].T), arrays["word_bias"][mine], max(1, CACHED // len(mine))
+        for i in range(bounds[k], bounds[k + 1], rows):
+            at = order[i : min(i + rows, bounds[k + 1])]
+            out[at] += picked(h[at] @ vectors, own_bias, shape.place[w[CONTEXT + at]], safe)
+    return out
 
 
 def _score(df: DataFrame, model: Model) -> DataFrame:
-    """(k, h, n, known, base, score, rare): sums over frequent words; rare words with the state before them and their numbers."""
-    shared = _share(df, model)
+    """(k, h, n, known, base, score, rare, times): sums over frequent words; words that aren't frequent with their numbers."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema["k"].dataType.simpleString()
 
     def run(batches):
         m = shared.value
-        index = _index(m.words, m.mark)
-        logs, count = np.log10(m.counts + SMOOTH), len(m.words)
-        for batch in batches:
-            rows = []
-            for text in batch.column(2).to_pylist():
-                words = _tokens(text)
-                at = np.array([0, *(index.get(w, count) for w in words)], np.int64)
-                s, at = m.states[at[:-1]], at[1:]
-                found = at < count
-                rare = Counter((words[i], int(s[i])) for i in np.flatnonzero(~found))
-                own, score = logs[at[found]].sum(), -m.scale[s].sum()
-                at, s = at[found], s[found]
-                for i in range(0, len(at), PART):
-                    score += np.einsum("ij,ij->i", m.vectors[at[i : i + PART]].astype(np.float32), m.phi[s[i : i + PART]]).sum(dtype=np.float64) / np.log(10)
-                rows.append((len(words), len(at), own, score + own, [w for w, _ in rare], [x for _, x in rare], list(rare.values())))
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(columns, kinds))], ["k", "h", "n", "known", "base", "score", "rare", "state", "times"])
-
-    return df.select("k", "h", "t").mapInArrow(trimmed(run), f"k {kind}, h bigint, n bigint, known bigint, base double, score double, rare array<binary>, state array<int>, times array<bigint>")
-
-
-def _dots(rows: DataFrame, phi: np.ndarray) -> DataFrame:
-    """rows(k2, h2, state, times, c, r) with x, the log10 ratio that the word's vector r gives after the state."""
-    shared = _share(rows, phi)
-
-    def run(batches):
-        phi = shared.value
-        for batch in batches:
-            r = np.zeros((batch.num_rows, phi.shape[1]), np.float32)
-            raw = batch.column("r").to_pylist()
-            some = np.array([x is not None for x in raw], bool)
-            if some.any():
-                r[some] = np.frombuffer(b"".join(x for x in raw if x is not None), np.float16).reshape(-1, phi.shape[1])
-            x = np.einsum("ij,ij->i", r, phi[batch.column("state").to_numpy()]).astype(np.float64) / np.log(10)
-            yield batch.drop_columns(["r"]).append_column("x", pa.array(x))
-
-    kept = [f for f in rows.schema.fields if f.name != "r"]
-    return rows.mapInArrow(trimmed(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", x double")
+        count, own = len(m.words), len(m.shape.vocabulary)
 
+        def make():
+            outputs = np.array([*range(own), *(own + _bucket(w, m.shape.buckets) for w in m.words[own:])], np.int64)
+            return {w: i for i, w in enumerate(m.words)}, outputs, np.log10(m.counts + SMOOTH)
 
-def score_texts(df: DataFrame, model: Model, rare_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        index, outputs, logs = _loaded(m.shape.mark, make)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, codes, n = _encoded(batch.column(2))
+            at, rows = np.fromiter(map(index.get, words, repeat(count)), np.int64, len(words)), len(n)
+            other = at == count
+            o = outputs.take(at, mode="clip")
+            o[other] = [own + _bucket(w, m.shape.buckets) for w, x in zip(words, other.tolist()) if x]
+            log = np.where(other, 0.0, logs.take(at, mode="clip"))
+            # a word in a bucket has its share there; the counts of words that aren't frequent are joined later
+            inside = np.where(o >= own, log - m.scale.take(o - own, mode="clip"), 0.0)
+            owner = np.repeat(np.arange(rows), n)
+            total = lambda x: np.bincount(owner, x.take(codes), rows)
+            base, known = total(log), total(~other & ((at > 0) | (m.counts[0] > 0))).astype(np.int64)
+            w, real = _stream(o.take(codes), n)
+            found = np.zeros(max(0, len(w) - CONTEXT))
+            for i in range(0, len(found), PART):
+                found[i : i + PART] = log_probabilities(m.shape, m.arrays, w[i : i + PART + CONTEXT])
+            score = np.bincount(owner, found[real[CONTEXT:]], rows) / np.log(10) + total(inside)
+            some = other.take(codes)
+            rare, times = np.unique(owner[some] * len(words) + codes[some], return_counts=True)
+            places = pa.array(np.searchsorted(rare // len(words), np.arange(rows + 1)).astype(np.int32))
+            spelled = pa.array(words, pa.binary()).take(pa.array(rare % len(words)))
+            cells = [pa.array(x) for x in (n, known, base, score)] + [pa.ListArray.from_arrays(places, spelled), pa.ListArray.from_arrays(places, pa.array(times.astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], ["k", "h", "n", "known", "base", "score", "rare", "times"])
+
+    return df.select("k", "h", "t").mapInArrow(trimmed(run), f"k {kind}, h bigint, n bigint, known bigint, base double, score double, rare array<binary>, times array<bigint>")
+
+
+def score_texts(df: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns key, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every whole text.
 
-    A null or empty text is the end alone. Repeated rows each give a row; other columns are dropped; an empty table
-    gives an empty table.
+    counts: the model's word counts. A null or empty text is the end alone. Repeated rows each give a row; other columns are dropped;
+    an empty table gives an empty table.
     """
     rows = df.select(F.col(key).alias("k"), utf8_of(text).alias("t")).withColumn("h", F.xxhash64("t"))
     scored = stored(_score(rows, model), "lm-scored")
-    rare = scored.filter(F.size("rare") > 0).dropDuplicates(["k", "h"]).select(F.col("k").alias("k2"), F.col("h").alias("h2"), F.inline(F.arrays_zip(F.col("rare").alias("word"), "state", "times")))
+    rare = scored.filter(F.size("rare") > 0).dropDuplicates(["k", "h"]).select(F.col("k").alias("k2"), F.col("h").alias("h2"), F.inline(F.arrays_zip(F.col("rare").alias("word"), "times")))
     c = F.coalesce(F.col("c"), F.lit(0))
-    base = F.round(F.log10(c + SMOOTH) * UNIT).cast("long") * F.col("times")
-    joined = _dots(rare.join(rare_words, "word", "left").select("k2", "h2", "state", "times", "c", "r"), model.phi).groupBy("k2", "h2").agg(
-        F.sum(base).alias("log"), F.sum(F.round(F.col("x") * UNIT).cast("long") * F.col("times")).alias("own"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"),
-    )
+    log = F.round(F.log10(c + SMOOTH) * UNIT).cast("long") * F.col("times")
+    joined = rare.join(counts, "word", "left").groupBy("k2", "h2").agg(F.sum(log).alias("log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     both = scored.join(joined, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")), "left")
     return both.select(
         F.col("k").alias(key), F.col("n").alias("n_tokens"), (F.col("known") + zero("more")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("log") / UNIT - F.col("n") * model.base_scale).alias("base_score"), (F.col("score") + (zero("log") + zero("own")) / UNIT).alias("score"),
+        (F.col("base") + zero("log") / UNIT - F.col("n") * model.base_scale).alias("base_score"), (F.col("score") + zero("log") / UNIT).alias("score"),
     )
 
 
 def lm_digest(docs: DataFrame) -> DataFrame:
-    """The digest columns of documents(doc_id, text), learned from those whose id's residue isn't 0."""
+    """The digest columns of documents(doc_id, text), learned from those whose id's residue isn't 0; null texts are empty."""
     train = docs.filter(id_residue(10) != 0).select(utf8_of("text").alias("t"))
-    model, rare = learn(train, stored(count_words(train), "lm-counts"))
-    return score_texts(docs, model, rare).select("doc_id", (id_residue(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    counts = stored(count_words(train), "lm-counts")
+    return score_texts(docs, learn(train, counts), counts).select("doc_id", (id_residue(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
