@@ -110,6 +110,34 @@ def test_language_groups_do_not_matter():
     assert langid.Profiles({}).predict(["a"])[0] == ["und"]
 
 
+def test_long_training_text_counts_whole(spark):
+    rng = random.Random(1)
+    rare = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüß") for _ in range(140_000))
+    kinds, counts, _ = langid.trigram_counts([rare])
+    assert counts.max() < 30 and len(kinds) > 20_000
+    whole = sum(langid.trigram_vectors(kinds[i : i + 5000]).astype(np.int64).T @ counts[0, i : i + 5000] for i in range(0, len(kinds), 5000))
+    docs = spark.createDataFrame([(rare, "x"), ("other words", "y")], "text string, lang string")
+    got = langid.learn_profiles(docs)
+    one = langid.Profiles({"x": whole / counts.sum() * langid.LONGEST, "y": langid.bundles(*langid.trigram_counts(["other words"])[:2])[0].astype(float)})
+    assert got.languages == ["x", "y"] and np.allclose(got.own, one.own, atol=1e-3)
+    assert [x for g in langid.groups(["a" * 10] * 70 + ["b" * (1 << 21)] + ["c"]) for x in [g.stop - g.start]] == [64, 6, 1, 1]
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LABELS", 2)
+    docs = spark.createDataFrame([("some words", str(i)) for i in range(3)], "text string, lang string")
+    with pytest.raises(ValueError):
+        langid.learn_profiles(docs)
+
+
+def test_selected_languages(docs):
+    p = langid.learn_profiles(docs)
+    clash = docs.withColumn("__language", F.lit("keep")).withColumn("__score", F.lit(7))
+    kept = langid.select_languages(clash, p, ["fr"])
+    assert kept.columns == clash.columns and {r["__language"] for r in kept.collect()} == {"keep"}
+    assert langid.select_languages(docs, p, []).count() == 0 and langid.select_languages(docs, langid.Profiles({}), ["en"]).count() == 0
+
+
 # --- op 3
 
 
@@ -211,6 +239,26 @@ def test_quality(spark, docs):
     assert quality.quality_digest(docs.limit(0), labels).count() == 0 and quality.quality_digest(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_quality_with_clashing_columns(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    clash = docs.select("*", *(F.lit(1).alias(n) for n in ("y", "r", "t", "__k", "features")))
+    a, b = ({(r.doc_id, r.score) for r in quality.quality_digest(x, labels.withColumn("text", F.lit("no"))).collect()} for x in (docs, clash))
+    assert a == b
+
+
+def test_quality_against_brute_force_training():
+    """Each tree's first cut is the best of all cuts by gain, computed without histograms."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, (300, 4)).astype(float)
+    y = (x[:, 2] + rng.normal(0, 3, 300) > 9).astype(float)
+    trees = quality.train(x, y, trees=1)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = y - share, np.full(len(y), share * (1 - share))
+    score = lambda a, b: a**2 / (b + quality.RIDGE)
+    best = max((score(g[l].sum(), h[l].sum()) + score(g[~l].sum(), h[~l].sum()), j, t) for j in range(4) for t in np.unique(x[:, j])[:-1] for l in [x[:, j] <= t] if min(h[l].sum(), h[~l].sum()) >= quality.LEAST_HESSIAN)  # noqa: E741
+    assert (trees.feature[0][0], trees.threshold[0][0]) == best[1:]
+
+
 def test_tree_walk_matches_a_plain_one():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 5))
@@ -273,28 +321,51 @@ def test_similarity_join(spark, docs, rows):
 def test_repeated_rows_stay_once(docs):
     kept = jaccard.keep_first(docs)
     assert kept.columns == docs.columns and kept.filter("doc_id = 1000005").count() == 1 and kept.filter("doc_id is null").count() == 1
-
-
-def test_leftover_pairs_of_a_run():
-    import pyarrow as pa
-
+    clash = docs.select("*", *(F.lit(1).alias(n) for n in ("__n", "__id", "__h", "__again", "__gone", "id", "u", "t")))
+    assert jaccard.keep_first(clash).columns == clash.columns and jaccard.keep_first(clash).count() == kept.count()
+
+
+def test_repeated_ids_with_different_texts(spark):
+    words = [f"w{i}" for i in range(30)]
+    near = [*words[:29], "x"]
+    rows = [(1, " ".join(words)), (2, "a b c d e f"), (2, " ".join(near)), (3, "a b c d e f"), (4, "z y x w v u"), (4, "q r s t u v"), (4, "q r s t u v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(df).collect())
+    assert got == [(1, 26, 1), (2, 2, 2), (2, 26, 1), (3, 2, 2), (4, 2, 4), (4, 2, 4), (4, 2, 4)]
+    assert sorted(map(tuple, jaccard.keep_first(df).collect())) == [(1, " ".join(words)), (2, "a b c d e f"), (4, "q r s t u v"), (4, "z y x w v u")]
+
+
+@pytest.mark.parametrize("block, small", [(jaccard.BLOCK, jaccard.SMALL_BLOCK), (9, 3), (jaccard.BLOCK, 5)])
+def test_pairs_of_a_crowded_run(spark, monkeypatch, block, small):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SMALL_BLOCK", small)
+    monkeypatch.setattr(jaccard, "BLOCKS", 4)
+    monkeypatch.setattr(jaccard, "PAIRS", 40)
     rng, sets = np.random.default_rng(2), []
-    base = [np.unique(rng.integers(0, 2**64, 90, dtype=np.uint64)) for _ in range(12)]
+    base = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in range(60, 120, 3)]
     for b in base:
         sets += [b, np.unique(np.append(b[rng.integers(1, 5) :], rng.integers(0, 2**64, 2, dtype=np.uint64)))]
-    batch = lambda ids: pa.RecordBatch.from_arrays(
-        [pa.array([5] * len(ids)), pa.array(ids), pa.array(ids), pa.array([len(sets[i]) for i in ids]), pa.array([jaccard.parity(sets[i]).tobytes() for i in ids], pa.binary())], ["key", "id", "c", "n", "p"]
-    )
-    order = list(range(len(sets)))
-    got = {(r["a"], r["b"]) for x in jaccard._leftover([batch(order[:7]), batch(order[7:])]) for r in x.to_pylist()}
-    want = {(i, j) for i in order for j in order[i + 1 :] if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)}
-    assert want and want <= got and len(got) < len(order) * 4
+    rows = [(k, i, i, len(s), jaccard.parity(s).tolist()) for k in (5, -7) for i, s in enumerate(sets) if k == 5 or i % 3]
+    members = spark.createDataFrame(rows, "key long, u long, c long, n long, p array<long>").repartition(3)
+    got = {tuple(r) for r in jaccard.crowded_pairs(members).collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)}
+    assert want and want <= got and len(got) < len(sets) * 4
+    same = members.withColumn("c", F.lit(1))
+    assert jaccard.crowded_pairs(same).count() == 0
+
+
+def test_unlike_sets_share_no_key():
+    rng = np.random.default_rng(8)
+    for n in [*range(1, 34), 40, 47, 48, 56, 60]:
+        sets = rng.integers(0, 2**64, (20_000, n), dtype=np.uint64)
+        keys = np.concatenate([jaccard.sketch_keys(np.sort(s)) for s in (sets if n < 20 else sets[:4000])])
+        assert len(keys) - len(np.unique(keys)) <= 2, n
 
 
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(5)
     for n in [*range(1, 60), 127, 128, 129, 500, 1025]:
-        for _ in range(6):
+        for _ in range(60 if n < 20 else 12):
             s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
             d = len(s) // 9
             other = np.unique(np.append(np.delete(s, rng.choice(len(s), d, replace=False)), rng.integers(0, 2**64, rng.integers(0, d + 1), dtype=np.uint64)))
@@ -320,6 +391,29 @@ def test_sharding(docs, rows):
     assert sharding.external_shuffle(docs).columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
 
 
+def test_sharding_of_repeated_keys_and_clashing_columns(spark):
+    rows = [(1, "same", i) for i in range(500)] + [(i, None, 0) for i in range(50)] + [(None, "x", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").select("*", *(F.lit(1).alias(c) for c in ("__bucket", "__order", "__task", "__at")), F.create_map(F.lit("k"), "n").alias("m"))
+    kwargs = {"n_shards": 3, "bucket_bytes": 700, "max_tasks": 5}
+    a, b = ({(r.doc_id, r.n, r.shard, r.slot) for r in sharding.external_shuffle(x, **kwargs).collect()} for x in (df, df.repartition(6, "n")))
+    assert a == b and len(a) == len(rows)
+    for shard in range(3):
+        slots = sorted(x[3] for x in a if x[2] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_written_shards(spark, tmp_path):
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    sharding.write_shards(df, str(tmp_path / "s"), n_shards=4, file_rows=20)
+    want = {(r.doc_id, r.shard, r.slot) for r in sharding.external_shuffle(df, 4).collect()}
+    assert {(r.doc_id, r.shard, r.slot) for r in spark.read.parquet(str(tmp_path / "s")).collect()} == want
+    import pyarrow.parquet as pq
+
+    for shard in range(4):
+        slots = [x for f in sorted((tmp_path / "s" / f"shard={shard}").glob("*.parquet")) for x in pq.read_table(f)["slot"].to_pylist()]
+        assert slots == list(range(50))
+
+
 # --- op 8
 
 
@@ -339,37 +433,92 @@ def test_language_model(docs, rows, monkeypatch, frequent):
             assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in counts for x in w), total, residue(i, 10) == 0)
             assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
     held = [r for rs in got.values() for r in rs if r.held_out and r.doc_id is not None and r.doc_id < 10**6]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_model_table_is_normalised():
-    pairs = np.zeros((lm.CLASSES, lm.CLASSES))
-    pairs[2, 3], pairs[3, 2], pairs[0, 2], pairs[3, 0] = 50, 40, 10, 10
-    table = lm.train_table(pairs)
-    assert np.allclose((10**table).sum(axis=1), 1) and table[2].argmax() == 3 and table[3].argmax() == 2
-
-
-@pytest.mark.parametrize("frequent", [lm.MAX_FREQUENT, 700])
-def test_words_beyond_the_states_follow_their_context(spark, monkeypatch, frequent):
-    monkeypatch.setattr(lm, "MAX_FREQUENT", frequent)
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
+
+
+def brute_score(model, counts, words):
+    """The score of words by one token at a time, from the formulas of the model alone."""
+    own = {w: i for i, w in enumerate(model.shape.vocabulary)}
+    a, classes = {k: v.astype(float) for k, v in model.arrays.items()}, model.shape.classes
+    output = lambda w: own.get(w, len(own) + zlib.crc32(w[-3:]) % model.shape.buckets)
+    rest = {}
+    for w, c in counts.items():
+        if w not in own:
+            n, k = rest.get(output(w), (0, 0))
+            rest[output(w)] = n + c, k + 1
+    total, before = 0.0, [output(lm.END_WORD)] * lm.CONTEXT
+    for w in words:
+        h = sum(a["place"][i] * a["context"][before[-1 - i]] for i in range(lm.CONTEXT))
+        o = output(w)
+        by_class = np.exp(a["class"] @ h + a["class_bias"][:, 0])
+        inside = [j for j in range(len(classes)) if classes[j] == classes[o]]
+        by_word = np.exp(a["word"][inside] @ h + a["word_bias"][inside, 0])
+        p = by_class[classes[o]] / by_class.sum() * by_word[inside.index(o)] / by_word.sum()
+        if w not in own:
+            n, k = rest.get(o, (0, 0))
+            p *= (counts[w] + 0.1) / (n + 0.1 * (k + 1))
+        total += np.log10(p)
+        before.append(o)
+    return total
+
+
+@pytest.mark.parametrize("frequent", [lm.MAX_FREQUENT, 30])
+def test_score_of_a_small_model(spark, monkeypatch, frequent):
+    for name, value in (("MAX_FREQUENT", frequent), ("VOCABULARY", 40), ("BUCKETS", 16), ("BLOCK_TOKENS", 2000), ("PART", 7), ("CACHED", 50)):
+        monkeypatch.setattr(lm, name, value)
+    rng = random.Random(4)
+    made = [" ".join(f"a{min(int(rng.expovariate(0.05)), 200)}" for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    train = spark.createDataFrame([(t.encode(),) for t in made], "t binary").repartition(4)
+    counts = lm.count_words(train).cache()
+    model = lm.learn(train, counts)
+    assert 1 < len(model.shape.members) < len(model.shape.mass) == len(model.shape.vocabulary) + 16
+    by_word = {bytes(w): c for w, c in counts.collect()}
+    texts = [(i, t) for i, t in enumerate([*made[:20], "", "never seen", "a1 never a2 " * 5])]
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), model, counts).collect()}
+    for i, t in texts:
+        assert got[i] == pytest.approx(brute_score(model, Counter(by_word), lm._tokens(t.encode())), rel=1e-4)
+    # over all words of the corpus and an unseen one in each bucket, the probabilities after a context add up to 1
+    endings, i = {}, 0
+    while len(endings) < 16:
+        w = b"z%d" % i
+        endings.setdefault(lm._bucket(w, 16), w)
+        i += 1
+    every, before = [*by_word, *endings.values()], lm._tokens(b"a1 a3")[:2]
+    start = brute_score(model, Counter(by_word), before)
+    assert sum(10 ** (brute_score(model, Counter(by_word), [*before, w]) - start) for w in every) == pytest.approx(1, abs=1e-6)
+
+
+def test_words_before_count(spark):
     rng = random.Random(4)
     pairs = [(f"c{i}", f"w{i}x{k}") for i in range(40) for k in range(30) for _ in range(20)]
     rng.shuffle(pairs)
-    train = spark.createDataFrame([(" ".join(f"{a} {b}" for a, b in pairs[i : i + 50]).encode(),) for i in range(0, len(pairs), 50)], "t binary")
-    model, rare = lm.learn(train, lm.count_words(train))
+    train = spark.createDataFrame([(" ".join(f"{a} {b}" for a, b in pairs[i : i + 50]).encode(),) for i in range(0, len(pairs), 50)], "t binary").coalesce(1)
+    counts = lm.count_words(train).cache()
     texts = [(2 * i + x, " ".join(f"c{(i + 7 * x) % 40} w{i}x{k}" for k in range(30))) for i in range(40) for x in (0, 1)]
-    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), model, rare).collect()}
-    assert min(got[2 * i] - got[2 * i + 1] for i in range(30, 40)) > 30 * 0.1  # words too many to be states
-    # over all words of the corpus and the unseen one, each state's probabilities add up to 1
-    words = [(i, w.decode()) for i, w in enumerate([w for w, in lm.count_words(train).select("word").collect() if w != lm.END_WORD] + [b"never"])]
-    after = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame([(i, f"c3 {w}") for i, w in words], "doc_id long, text string"), model, rare).collect()}
-    ends = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame([(i, w) for i, w in [*words, (-1, "c3"), (-2, "")]], "doc_id long, text string"), model, rare).collect()}
-    # the end's share comes off where each word's own end is scored: P(c3 w END) = P(c3) P(w | c3) P(END | w)
-    state = dict(zip(model.words, model.states))
-    log = lambda j, w: np.log10(model.counts[model.words.index(w)] + lm.SMOOTH) + model.vectors[model.words.index(w)].astype(float) @ model.phi[j] / np.log(10) - model.scale[j]
-    c3, end = log(0, b"c3"), lambda w: log(state.get(w, model.states[-1]), lm.END_WORD)
-    total = sum(10 ** (after[i] - c3 - end(w.encode())) for i, w in words) + 10 ** log(state[b"c3"], lm.END_WORD)
-    assert total == pytest.approx(1, abs=1e-3) and ends[-1] == pytest.approx(c3 + end(b"c3"), abs=1e-4)
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), lm.learn(train, counts), counts).collect()}
+    assert sum(got[2 * i] > got[2 * i + 1] + 30 * 0.1 for i in range(40)) >= 36
+
+
+def test_blocks_are_averaged_by_their_meetings():
+    shape = lm.Shape([lm.END_WORD, b"a", b"b"], np.array([5.0, 5, 3, *[0.1] * lm.BUCKETS]), "m")
+    model = lm.start(shape)
+    one, two = lm.Trainer(shape, model), lm.Trainer(shape, model)
+    one.step(np.array([0] * lm.CONTEXT + [1, 1, 1, 0]), np.ones(4, bool))
+    two.step(np.array([0] * lm.CONTEXT + [1, 2, 0]), np.ones(3, bool))
+    sums = {}
+    for t in (one, two):
+        for p, x in t.learned():
+            sums[p] = sums.get(p, 0) + np.frombuffer(x, np.float32).astype(float)
+    got = lm.merged(shape, model, sums)
+    assert np.allclose(got["context"][1], (one.model["context"][1] + two.model["context"][1]) / 2, atol=1e-5)
+    assert np.allclose(got["context"][2], two.model["context"][2], atol=1e-5)  # only the second met it
+    assert np.allclose(got["class"], (4 * one.model["class"] + 3 * two.model["class"]) / 7, atol=1e-5)
+
+
+def test_bucket_is_the_same_in_sql(spark):
+    words = [b"", b"a", b"ab", b"abc", b"abcd", "né中".encode(), lm.END_WORD]
+    got = spark.createDataFrame([(w,) for w in words], "w binary").select(F.pmod(F.crc32(F.substring("w", -lm.ENDING, lm.ENDING)), F.lit(lm.BUCKETS))).collect()
+    assert [r[0] for r in got] == [lm._bucket(w, lm.BUCKETS) for w in words]
 
 
 # --- op 9
@@ -383,7 +532,14 @@ def test_token_counts(docs, rows):
     library, rng = Tokenizer.from_file(path), random.Random(1)
     parts = [*"ab's tmdrvlle  '\n\r\t 12½²é中ñ", "<|endoftext|>", "'re", "'ll", "'s", "  ", "\n\n", "　", "\x85", "\x1c", "é", "😀"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", "a" * 5000]
-    assert tokencount.TokenCounter(path).counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    own = tokencount.TokenCounter(path)
+    assert own.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    made = ["".join(rng.choice(["a", "b", "ing", "th", "-", "=", "0", " ", "é", "\n"]) * rng.randint(1, 40) for _ in range(rng.randint(0, 12))) for _ in range(10_000)]
+    assert own.counts(made).tolist() == [len(e.ids) for e in library.encode_batch(made, add_special_tokens=False)]
+    tokencount_states, monkey = len(own.counter.states), pytest.MonkeyPatch()
+    with monkey.context() as m:  # starting anew changes no result
+        m.setattr(tokencount, "MAX_STATES", tokencount_states // 50)
+        assert np.concatenate([own.counts(made[i : i + 200]) for i in range(0, 4000, 200)]).tolist() == own.counts(made[:4000]).tolist()
     got = by_key(tokencount.token_counts(docs, path))
     for i, t in rows:
         n = len(library.encode(t or "", add_special_tokens=False).ids)
@@ -409,6 +565,44 @@ def test_media_round_trip(docs, rows):
             assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
 
 
+def test_stream_made_by_hand():
+    """The packets of a short payload, byte by byte, and its feature."""
+    payload = b"A" * 64
+    pat = bytes.fromhex("474000100000b00d0001c100000001f0002ab104b2")
+    pmt = bytes.fromhex("475000100002b0120001c10000e100f00006e100f0004abd9a0b")
+    pes = bytes.fromhex("000001bd0048848005" + "2100010001") + payload
+    pcr = bytes.fromhex("000000007e00")
+    head = bytes.fromhex("47410030") + bytes([183 - len(pes), 0x50]) + pcr
+    media_packet = head + b"\xff" * (188 - len(head) - len(pes)) + pes
+    stream = media.write_stream(payload)
+    assert stream[:21] == pat and stream[188:193] == pmt[:5]
+    for at, table in ((0, pat), (188, pmt)):
+        size = 3 + (int.from_bytes(stream[at + 6 : at + 8], "big") & 0xFFF)
+        section = stream[at + 5 : at + 5 + size]
+        assert section[:-4] == table[5:-4] and media.section_crc(section) == 0 and set(stream[at + 5 + size : at + 188]) == {0xFF}
+    assert stream[376:] == media_packet and len(stream) == 564
+    got = media.read_stream(stream)
+    assert (got.payload, got.pts, got.pcr, got.random_access, got.stream_type) == (payload, [0], [0], [0], 6)
+
+
+def test_features_of_media(spark):
+    df = spark.createDataFrame([(1, "x" * 9000), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.feature for r in media.media_digest(df).collect()}
+    units, packets = 3, 2  # 9,024 bytes are three units; tables first
+    for size, first in ((4096, True), (4096, False), (832, False)):
+        body = size + 14 - (184 - 8 if first else 0)
+        packets += bool(first) + -(-body // 184)
+    assert got == {1: f"packets={packets};units={units};last_pts=7200;random_access=1;discontinuities=0", 2: "packets=3;units=1;last_pts=0;random_access=1;discontinuities=0"}
+
+
+def test_repeated_packets_count_once():
+    data = bytes(range(256)) * 40
+    stream = media.write_stream(data)
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    got = media.read_stream(b"".join(p for i, p in enumerate(packets) for _ in range(1 + (i % 3 == 0))))
+    assert got.payload == data and not got.discontinuities and got.duplicates == len(packets[::3])
+
+
 def test_transport_stream_faults():
     data = bytes(range(256)) * 200
     stream = media.write_stream(data)
