@@ -32,7 +32,7 @@ PARITY_WORDS = 16
 BROADCAST_IDS = 1_000_000
 #: Members of a run that are compared with as many others in a tile: SMALL_BLOCK, as long as that makes at most BLOCKS of them, then
 #: more, up to BLOCK; pairs that are compared at once.
-SMALL_BLOCK, BLOCKS, BLOCK, PAIRS = 512, 32, 4096, 1 << 16
+SMALL_BLOCK, BLOCKS, BLOCK, PAIRS = 1024, 16, 4096, 1 << 16
 #: Sets of at most so many shingles have keys of their own kind.
 SMALL = 9
 MAX_CACHED_WORDS = 100_000
@@ -175,14 +175,22 @@ def _compatible(a: str, b: str) -> Column:
     return sizes & (apart * (LINK[0] + LINK[1]) <= (n_a + n_b) * (LINK[1] - LINK[0]))
 
 
-def _verified(pairs: DataFrame, described: DataFrame, docs: DataFrame) -> DataFrame:
-    """The linked ones of distinct pairs (a, b) of units, whose whole sets are compared."""
-    facts = described.select("u", "n", "p").dropDuplicates(["u"])
+def _sets(column: pa.Array):
+    """The sets of a binary column, without copies."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // 8
+    values = np.frombuffer(data, np.uint64, int(at[-1])) if len(column) and at[-1] else np.zeros(0, np.uint64)
+    for i, j in zip(at.tolist(), at[1:].tolist()):
+        yield values[i:j]
+
+
+def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked ones of distinct pairs (a, b) of units, whose whole sets are compared. facts(u, id, h, n, p): a row for each unit."""
     for x in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("u").alias(x), F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}")), x)
     pairs = stored(pairs.filter(_compatible("a", "b")).select("a", "b"), "jaccard-pairs")
-    units = described.select("u", "id", "h").join(pairs.select(F.col("a").alias("u")).union(pairs.select(F.col("b").alias("u"))).distinct(), "u")
-    units = stored(units.groupBy("u").agg(F.min(F.struct("id", "h")).alias("x")).select("u", F.col("x.id").alias("i"), F.col("x.h").alias("j")), "jaccard-units")
+    wanted = pairs.select(F.col("a").alias("u")).union(pairs.select(F.col("b").alias("u"))).distinct()
+    units = stored(facts.join(wanted, "u").select("u", F.col("id").alias("i"), F.col("h").alias("j")), "jaccard-units")
     needed = bounded_broadcast(units, BROADCAST_IDS)
     texts = docs.join(needed, (docs["id"] == needed["i"]) & (docs["h"] == needed["j"])).select(F.col("u").alias("id"), "h", "t")
     sets = _rows(texts, "id long, s binary", lambda u, h, t: (u, shingles(t).tobytes()))
@@ -191,8 +199,7 @@ def _verified(pairs: DataFrame, described: DataFrame, docs: DataFrame) -> DataFr
     def links(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(_sets(batch.column(2)), _sets(batch.column(3))):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common * LINK[1] >= LINK[0] * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -239,7 +246,7 @@ def _tiles(batches):
         if not batch.num_rows:
             continue
         tile = [batch.column(i).to_numpy() for i in range(3)]
-        columns = [batch.column(i).to_numpy() for i in range(3, 7)] + [np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(batch.num_rows, PARITY_WORDS)]
+        columns = [batch.column(i).to_numpy() for i in range(3, 7)] + [batch.column(7).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, PARITY_WORDS)]
         changes = np.any([x[1:] != x[:-1] for x in tile], axis=0)
         bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(bounds, bounds[1:]):
@@ -262,8 +269,7 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
     small_batches(members.sparkSession)
     n = F.count(F.lit(1))
     blocks = members.groupBy("key").agg(F.ceil(F.greatest(n / BLOCK, F.least(n / SMALL_BLOCK, F.lit(float(BLOCKS))))).cast("int").alias("blocks"))
-    packed = F.concat(*(F.unhex(F.lpad(F.hex(F.get("p", F.lit(i))), 16, "0")) for i in range(PARITY_WORDS)))
-    placed = members.join(blocks, "key").withColumn("b", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).withColumn("p", packed)
+    placed = members.join(blocks, "key").withColumn("b", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = placed.select("key", "b", other.alias("o"), "u", "c", "n", "p").select(
         "key", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), (F.col("b") > F.col("o")).cast("int").alias("side"), "u", "c", "n", "p"
@@ -324,15 +330,16 @@ def _linked(df: DataFrame, key: str, text: str) -> DataFrame:
     members = stored(keys.join(longer, keys["key"] == longer["run"]).select("key", "u", "first").distinct(), "jaccard-members")
     near = runs.filter("size = 2").select("a", "b").union(members.filter("u != first").select(F.col("first").alias("a"), F.col("u").alias("b"))).distinct()
     near = stored(near, "jaccard-near")
-    links = stored(_verified(near, some, docs), "jaccard-links")
+    facts = stored(some.select("u", "id", "h", "n", "p").dropDuplicates(["u"]), "jaccard-facts")
+    links = stored(_verified(near, facts, docs), "jaccard-links")
     found = components(links)
 
     named = members.join(found, members["u"] == found["id"], "left").select("key", "u", F.coalesce("c", "u").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x != y").select("key")
-    crowd = named.join(mixed, "key").join(some.select("u", "n", "p").dropDuplicates(["u"]), "u")
+    crowd = named.join(mixed, "key").join(facts.select("u", "n", "p"), "u")
     rest = stored(crowded_pairs(crowd.select("key", "u", "c", "n", "p")).join(near, ["a", "b"], "left_anti"), "jaccard-leftover")
     if not rest.isEmpty():
-        links = stored(links.union(_verified(rest, some, docs)), "jaccard-all-links")
+        links = stored(links.union(_verified(rest, facts, docs)), "jaccard-all-links")
         found = components(links)
 
     found = found.select(F.col("id").alias("first"), "c").union(found.select("c", "c").distinct())  # roots too
